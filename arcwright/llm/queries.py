@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.llm import bpe, line_dedup
+from arcwright.llm import bpe, decontaminate, line_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +18,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.where((F.col("low_quality") < quality.THRESHOLD) & (F.col("toxicity") < quality.THRESHOLD)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
+    "op8_quality": op8_quality,
 }
 
 _LINES = r"""
@@ -52,4 +64,17 @@ SQL: dict[str, str] = {
     "op1_line_dedup": _LINES + """
 select d.doc_id, case when coalesce(t.removed_lines, 0) = 0 then d.text else t.kept end as text, coalesce(t.removed_lines, 0) as removed_lines
 from documents d left join totals t on t.doc_id = d.doc_id""",
+    "op4_decontamination": r"""
+with bw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from benchmark),
+bg as (select distinct item_id, m, list_aggregate(ws[i:i + m - 1], 'string_agg', ' ') as g
+  from (select item_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from (select item_id, ws, least(8, len(ws)) as m from bw where len(ws) >= 4))),
+dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents),
+dg as (select doc_id, len(ws) as n, m, i, list_aggregate(ws[i:i + m - 1], 'string_agg', ' ') as g
+  from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from dw, (select distinct m from bg) where len(ws) >= m)),
+hits as (select doc_id, n, m, i, item_id from dg join bg using (m, g)),
+covered as (select doc_id, count(distinct j) as c from (select doc_id, unnest(range(i, i + m)) as j from hits) group by doc_id),
+per as (select doc_id, any_value(n) as n, count(distinct m * 10000000 + i) as windows from hits group by doc_id),
+named as (select doc_id, string_agg(cast(item_id as varchar), ',' order by item_id) as items from (select distinct doc_id, item_id from hits) group by doc_id)
+select doc_id, cast(windows as bigint) as windows, cast(n as bigint) as words, c / n as share, case when c / n >= 0.5 then 'drop' else 'cut' end as action, items
+from per join covered using (doc_id) join named using (doc_id)""",
 }
