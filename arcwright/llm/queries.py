@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.llm import bpe, decontaminate, line_dedup, quality
+from arcwright.llm import bpe, decontaminate, line_dedup, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where((F.col("low_quality") < quality.THRESHOLD) & (F.col("toxicity") < quality.THRESHOLD)).drop("text")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
     "op8_quality": op8_quality,
+    "op9_minhash": op9_minhash,
 }
 
 _LINES = r"""
