@@ -119,6 +119,11 @@ class Pieces:
                 self.slot[k] = s
         return slots[inverse]
 
+    def counts(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token."""
+        slots = self.lookup(texts, start, end)
+        return self.lens[slots].astype(np.int64)
+
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all slots one after another, and how many each has."""
         lens = self.lens[slots].astype(np.int64)
