@@ -1,0 +1 @@
+"""Incremental maintenance of a stored graph from a stream of changes."""
