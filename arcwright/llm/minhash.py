@@ -14,6 +14,9 @@ from arcwright.llm._graph import components, keep
 from arcwright.llm._text import Texts, grams, mix, slices
 
 K, SHINGLE, THRESHOLD = 64, 3, 0.5
+#: Share of its sketch that a document retains in common with any partner at THRESHOLD, but for chances under 1 in 100: a
+#: partner half or twice as long shares half of the sketch on average, one of equal length two thirds.
+COMMON = 0.34
 #: Ids whose texts are verified are broadcast up to so many rows, to shuffle no other text; beyond, joined.
 BROADCAST_IDS = 2_000_000
 
@@ -39,13 +42,13 @@ def _sketches(k: int, size: int):
                 for key, s in zip(ids[at:to].tolist(), shingle_sets(batch["text"].slice(at, to - at).to_pylist(), size)):
                     if len(s):
                         keys.append(key)
-                        sums.append((mix(s).sum(), mix(~s).sum() + np.uint64(len(s))))
+                        sums.append((mix(s).sum(), mix(~s).sum() + np.uint64(len(s)), np.uint64(len(s))))
                         kept.append(s[:k].astype(np.int64))
                 if keys:
                     offsets = np.cumsum([0, *map(len, kept)])
                     sums = np.array(sums, np.uint64).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(kept)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists], names=["id", "s1", "s2", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sums[:, 2]), lists], names=["id", "s1", "s2", "size", "sketch"])
 
     return run
 
@@ -88,7 +91,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, s
     return rows.select("g", "id", "text").mapInArrow(_jaccard(size, threshold), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, size: int = SHINGLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, size: int = SHINGLE, common_share: float = COMMON, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, kept_id) of every document that is a near duplicate; kept_id is the lowest doc_id of its group.
 
     Groups are the connected components of pairs whose sets of ``size``-word shingles (lower case,
@@ -96,9 +99,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, s
 
     1. Each document keeps the ``k`` smallest of its shingle hashes. Equal whole sets (128-bit sums)
        are one node from here on, so thousands of exact copies cost as much as one.
-    2. Inverted lists of retained values: values of one node drop out, then nodes that share fewer
-       values than a pair at the threshold must, then of each node the most common values that no
-       such pair needs (prefix filter; ordering by frequency keeps long lists out).
+    2. Inverted lists of retained values: values of one node drop out, then nodes that share less of
+       their sketch than ``common_share``, then of each node the most common values that no pair
+       sharing so much needs (prefix filter; ordering by frequency keeps long lists out). Sets of
+       sizes too different for the threshold aren't paired.
     3. Every node is paired with the lowest node of each of its lists, estimated from the union
        sketch and verified on the exact sets. Then all pairs of a list that lie in different
        components so far: pairs within a component can't change the result. So a group of m edited
@@ -109,33 +113,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, s
     that matches counts. Ties go to the lowest doc_id. Other columns don't matter. No rows: none.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
-    rows = keep(texts.mapInArrow(_sketches(k, size), "id bigint, s1 bigint, s2 bigint, sketch array<bigint>"))
-    nodes = rows.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
+    rows = keep(texts.mapInArrow(_sketches(k, size), "id bigint, s1 bigint, s2 bigint, size bigint, sketch array<bigint>"))
+    nodes = rows.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes)
     copies = nodes.where("n > 1").select("s1", "s2", "rep").join(rows.select("s1", "s2", "id"), ["s1", "s2"]).where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    needed = F.greatest(F.lit(1), F.floor(F.size("sketch") / 4))  # of min(k, set) values a pair at the threshold shares more, but for 1 in 10 000
-    values = nodes.select("rep", needed.alias("c"), F.size("sketch").alias("m"), F.explode("sketch").alias("v")).repartition("v")
-    common = values.groupBy("v").agg(F.count("*").alias("f"), F.max("c").alias("c1"), F.max("m").alias("m1"), F.min("rep").alias("r0"), F.max("rep").alias("r1"))
-    common = common.where("r0 < r1 and c1 > 0 and m1 > 0").select("v", "f")
+    needed = F.greatest(F.lit(1), F.floor(F.size("sketch") * common_share)).cast("int")
+    values = nodes.select("rep", "size", needed.alias("c"), F.explode("sketch").alias("v")).repartition("v")
+    common = values.groupBy("v").agg(F.count("*").alias("f"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.max("c").alias("c1"), F.max("size").alias("z1"))
+    common = common.where("r0 < r1 and c1 > 0 and z1 > 0").select("v", "f")  # reads all columns, so that the exchange of values serves both
     shared = values.join(common.hint("shuffle_hash"), "v")
     per = W.partitionBy("rep")
     shared = shared.withColumn("have", F.count("*").over(per)).where("have >= c")
     shared = shared.withColumn("rank", F.row_number().over(per.orderBy("f", "v"))).where("rank <= have - c + 1")
-    lists = keep(shared.select("v", "rep"))
+    lists = keep(shared.select("v", "rep", "size"))
 
-    heads = lists.groupBy("v").agg(F.min("rep").alias("a"))
-    stars = keep(lists.join(heads, "v").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    heads = lists.groupBy("v").agg(F.min(F.struct("rep", "size")).alias("h")).select("v", F.col("h.rep").alias("a"), F.col("h.size").alias("a_size"))
+    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  a set can't be that similar to one that much larger
+    stars = keep(lists.join(heads, "v").where("rep > a").where(fits("a_size", "size")).select("a", F.col("rep").alias("b")).distinct())
     in_play = nodes.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch")
     check = lambda pairs: _verified(pairs, in_play, texts, k, size, threshold, broadcast_ids)
     found = keep(check(stars))
     roots = components(found)
 
-    labelled = lists.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("root", "rep").alias("root"))
+    labelled = lists.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "size", F.coalesce("root", "rep").alias("root"))
     mixed = labelled.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("v")
     mixed = keep(labelled.join(mixed, "v"))
-    x, y = (mixed.select("v", F.col("rep").alias(r), F.col("root").alias(r + "_root")) for r in "pq")
-    across = x.join(y, "v").where("p_root < q_root").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    x, y = (mixed.select("v", F.col("rep").alias(r), F.col("size").alias(r + "_size"), F.col("root").alias(r + "_root")) for r in "pq")
+    across = x.join(y, "v").where("p_root < q_root").where(fits("p_size", "q_size")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     across = keep(across.join(stars, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         found = found.unionByName(check(across))
@@ -143,8 +148,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, s
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, size: int = SHINGLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, size: int = SHINGLE, common_share: float = COMMON, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The documents, with all their columns, without those that :func:`near_duplicates` lists."""
-    gone = keep(near_duplicates(docs, threshold, k, size, broadcast_ids).select(F.col("doc_id").alias("__gone")))
+    gone = keep(near_duplicates(docs, threshold, k, size, common_share, broadcast_ids).select(F.col("doc_id").alias("__gone")))
     few = gone.count() <= broadcast_ids
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
