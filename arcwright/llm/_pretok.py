@@ -28,6 +28,8 @@ def boundaries(texts: Texts) -> np.ndarray:
     kinds = char_classes()[cps]
     kinds[texts.ends] = _SEP
     n = len(cps)
+    if not n:
+        return np.zeros(0, np.int64)
     start = np.empty(n, bool)
     start[0] = True
     np.not_equal(kinds[1:], kinds[:-1], out=start[1:])

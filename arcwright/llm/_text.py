@@ -111,7 +111,7 @@ class Texts:
 
     def __init__(self, texts: list[str | None]):
         lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-        whole = "\n".join(t or "" for t in texts) + "\n"
+        whole = "".join(f"{t or ''}\n" for t in texts)
         self.cps = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.ends = np.cumsum(lengths + 1) - 1  # position of the line feed behind each text
         self.starts = self.ends - lengths

@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int, int] = SAMPL
 
 
 def predict(m: dict[str, np.ndarray] | None, texts: Texts) -> np.ndarray:
-    """Probabilities of low quality and of toxicity; 1 and 0 for a text without words."""
+    """Probabilities of low quality and of toxicity, to 5 decimals, as a text's neighbours in a batch may change the next; 1 and 0 without words."""
     out = np.zeros((texts.n, 2))
     out[:, 0] = 1
     if m is None:
@@ -194,7 +194,7 @@ def predict(m: dict[str, np.ndarray] | None, texts: Texts) -> np.ndarray:
     some = np.flatnonzero(p.count)
     if len(some):
         doc_at = (np.cumsum(p.count) - p.count)[some]
-        out[some] = _forward(m, p.word, p.at, p.measures, doc_at)["p"]
+        out[some] = np.round(_forward(m, p.word, p.at, p.measures, doc_at)["p"], 5)
     return out
 
 
