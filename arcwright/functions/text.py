@@ -90,7 +90,7 @@ def same_commit(a: str, b: str) -> bool:
 
 def slug(column: Column | str) -> Column:
     """Package name: lower case, other characters than letters, digits and ``._-`` become ``-``."""
-    return F.regexp_replace(F.lower(column), "[^a-z0-9._-]", "-")
+    return F.regexp_replace(F.lower(column), r"[^\w.-]|[^\x00-\x7f]", "-")
 
 
 def ref_name(ref: str) -> str:

@@ -17,7 +17,7 @@ from arcwright.operators.durable import keep, small
 
 MEMBERS = ("method", "constructor", "property", "field", "event")
 CALLERS = ("method", "constructor", "property", "event")
-REGISTRATIONS = ("AddScoped", "AddTransient", "AddSingleton", "TryAddScoped", "TryAddTransient", "TryAddSingleton")
+REGISTRATIONS = tuple(f"{add}{life}" for add in ("Add", "TryAdd") for life in ("Singleton", "Scoped", "Transient"))
 FRAMEWORKS = {"xUnit": ("Fact", "Theory"), "NUnit": ("Test", "TestCase", "TestCaseSource"), "MSTest": ("TestMethod", "DataTestMethod")}
 _SPECIAL = ("void", "bool", "byte", "sbyte", "char", "decimal", "double", "float", "int", "uint", "nint", "nuint", "long", "ulong", "object", "short", "ushort", "string", "dynamic")
 

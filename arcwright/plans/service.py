@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Callable
 from pathlib import Path
 from typing import BinaryIO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions
 
-from arcwright.functions.text import parse_edge_type, ref_name
+from arcwright.functions.text import EDGE_ALIASES, parse_edge_type, ref_name
 from arcwright.model import GraphError, OutputFormat, QueryOptions, SplitBy
 from arcwright.operators import extract, sets
 from arcwright.operators.subgraph import query
@@ -19,7 +20,7 @@ from arcwright.plans import render
 from arcwright.sources import config, csharp, graph_dir, projects
 
 TOOL = "graph_query"
-_KINDS = ["calls-to", "calls-from", "inherits", "implements", "depends-on", "resolves-to", "covers", "covered-by", "references", "overrides", "contains", "all"]
+_KINDS = sorted(EDGE_ALIASES)
 
 
 def tool_schema() -> dict:
@@ -36,7 +37,7 @@ def tool_schema() -> dict:
         "include_external": field("boolean", "Walk and return edges to outside symbols", default=False),
         "solution": field("string", "One solution of several"),
     }
-    return {"name": TOOL, "description": "Symbols of a code graph and what is around them", "inputSchema": {"type": "object", "properties": properties, "required": ["symbol"]}}
+    return {"name": TOOL, "description": "Symbols of the indexed sources and what is around them", "inputSchema": {"type": "object", "properties": properties, "required": ["symbol"]}}
 
 
 class Service:
@@ -125,9 +126,33 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("arcwright").getOrCreate()
 
 
-def index(spark: SparkSession, root: str, output: str, settings: config.Config, project_filter: str | None = None, changed_only: bool = False) -> int:
-    """Indexes the C# sources of the projects below a folder into a graph folder; the number of projects."""
+def index_all(spark: SparkSession, root: str, output: str, settings: config.Config, project_filter: str | None = None, changed_only: bool = False) -> tuple[int, list[str]]:
+    """Indexes the configured solutions, several each into a folder of its name, or all projects below the root; (projects, solutions that failed).
+
+    A solution that fails doesn't stop the others.
+    """
+    solutions, total, failed = settings.effective_solutions(), 0, []
+    for solution in solutions or [None]:
+        target = output if len(solutions) < 2 else str(Path(output) / Path(solution.replace("\\", "/")).stem)
+        try:
+            total += index(spark, root, target, settings, project_filter, changed_only, solution)
+        except Exception as e:
+            if len(solutions) < 2:
+                raise
+            failed.append(f"{solution}: {e}")
+    return total, failed
+
+
+def index(spark: SparkSession, root: str, output: str, settings: config.Config, project_filter: str | None = None, changed_only: bool = False, solution: str | None = None) -> int:
+    """Indexes the C# sources of a solution's projects, or of all below a folder, into a graph folder; the number of projects."""
     found = projects.read_texts(spark, root, "*.csproj")
+    if solution is not None:
+        path = Path(root, solution.replace("\\", "/"))
+        if not path.is_file():
+            raise FileNotFoundError(f"No solution at {path}")
+        listed = projects.all_solution_projects(projects.in_memory(spark, {path.absolute().as_posix(): path.read_text("utf-8-sig")})).collect()
+        wanted = [os.path.normpath(path.absolute().parent / r["path"]).lower() for r in listed]
+        found = found.where(functions.lower("path").isin(wanted))
     table = projects.project_table(found, projects.read_texts(spark, root, "Directory.Build.props"))
     from arcwright.operators.match import selected_projects
     from arcwright.operators.paths import owning_projects
@@ -220,8 +245,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             print({"json": render.diff_json, "text": render.diff_text}.get(a.format.lower(), render.diff_context)(found), file=out)
         elif a.command == "index":
             settings = config.load_config(a.config, a.root)
-            n = index(spark or _session(), a.root, a.output or settings.output, settings, a.projects, a.changed_only)
+            n, failed = index_all(spark or _session(), a.root, a.output or settings.output, settings, a.projects, a.changed_only)
             print(f"Indexed {n} projects", file=out)
+            if failed:
+                raise GraphError("; ".join(failed))
         elif a.command == "view":
             if a.max_nodes <= 0:
                 raise GraphError("--max-nodes must be above 0")

@@ -11,6 +11,8 @@ from pathlib import Path
 from arcwright.functions.text import same_commit
 from arcwright.model import GraphError, camel
 
+#: Folders of builds, packages and editors.
+SKIPPED = frozenset("artifacts packages node_modules bin obj .git .idea .vs".split())
 FILE = "arcwright.json"
 
 
@@ -92,7 +94,7 @@ def changed_files(since: str, root: str | Path = ".") -> list[str]:
     return [f for f in git("diff", "--name-only", since, folder=root).splitlines() if f.strip()]
 
 
-def find_solutions(root: str | Path, skip: frozenset[str] = frozenset({"bin", "obj", "node_modules", ".git", ".vs", ".idea", "packages", "artifacts"})) -> list[str]:
+def find_solutions(root: str | Path, skip: frozenset[str] = SKIPPED) -> list[str]:
     """Solution files below a folder, but for some folders' names."""
     root = Path(root)
     found = [p.relative_to(root) for e in ("*.sln", "*.slnx") for p in root.rglob(e)]

@@ -135,6 +135,10 @@ def test_commands(spark, tmp_path, capsys):
     run = lambda *a: service.main(list(a), spark, out)
     g = str(tmp_path / "g")
     assert run("index", "--root", str(tmp_path / "src"), "--output", g) == 0 and "Indexed 2 projects" in out.getvalue()
+    (tmp_path / "src" / "One.sln").write_text(SLN.replace("src\\Core", "Core"))
+    (tmp_path / "many.json").write_text(json.dumps({"solutions": ["One.sln", "None.sln"]}))
+    assert run("index", "--root", str(tmp_path / "src"), "--output", g + "s", "--config", str(tmp_path / "many.json")) == 1 and "Indexed 1 projects" in out.getvalue()
+    assert graph_dir.load(spark, g + "s", "one").nodes.where("name = 'OrderService' and kind = 'type'").count() == 1
     assert run("query", "OrderService.Check(Order)", "--graph-dir", g, "--format", "text") == 0 and "Calls (" in out.getvalue()
     assert run("query", "Nowhere", "--graph-dir", g) == 1 and run("query", "x", "--graph-dir", g + "x") == 1 and run("query", "x", "--kind", "odd", "--graph-dir", g) == 1
     assert run("diff", "--base", g, "--head", g, "--format", "text") == 0 and "Added nodes: 0" in out.getvalue()
