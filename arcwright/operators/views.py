@@ -74,7 +74,7 @@ def visible_links(edges: DataFrame, nodes: DataFrame, visible: DataFrame, types:
     """Edges of some types of which neither end is a node that is hidden; ends without a node don't matter."""
     if types is not None:
         edges = edges.where(F.col("type").isin(types))
-    hidden = nodes.select("id").join(visible.select("id"), "id", "left_anti")
+    hidden = keep(nodes.select("id").join(visible.select("id"), "id", "left_anti"))
     for end in ("from_id", "to_id"):
         edges = edges.join(small(hidden.select(F.col("id").alias(end))), end, "left_anti")
     return edges
