@@ -113,9 +113,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, s
     that matches counts. Ties go to the lowest doc_id. Other columns don't matter. No rows: none.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
-    rows = keep(texts.mapInArrow(_sketches(k, size), "id bigint, s1 bigint, s2 bigint, size bigint, sketch array<bigint>"))
+    rows = texts.mapInArrow(_sketches(k, size), "id bigint, s1 bigint, s2 bigint, size bigint, sketch array<bigint>")
     nodes = rows.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes)
+    # sketching again for these two sums costs less than keeping all sketches twice
     copies = nodes.where("n > 1").select("s1", "s2", "rep").join(rows.select("s1", "s2", "id"), ["s1", "s2"]).where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
     needed = F.greatest(F.lit(1), F.floor(F.size("sketch") * common_share)).cast("int")
