@@ -231,3 +231,24 @@ def test_registered():
     names = entry.queries()
     assert sorted(int(k[2:].split("_")[0]) for k in names if k.startswith("op")) == list(range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_take_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _labelled(200, 12)
+    spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, w bigint, id string, removed_lines string"
+    odd = [(i, t, None, None, None, None, None, None) for i, t, *_ in rows] + [(None, None, None, None, None, 1, "x", "y"), (None, "some words", "en", "s", 3, 1, "x", "y"), (900, "", "en", "s", 0, 1, "x", "y"), (901, rows[0][1], "en", "s", 9, 1, "x", "y"), (901, rows[0][1], "en", "s", 9, 1, "x", "y")]
+    frame = spark.createDataFrame(odd, schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for docs_ in (frame, frame.limit(0)):
+            found = stage(spark, docs_, str(tmp_path))
+            if name == "tokenise":
+                assert found.count() == docs_.count()
+            else:
+                assert found.columns == frame.columns and found.dtypes == frame.dtypes
+                n = found.count()
+                assert n <= docs_.count() and (n or not docs_.count())
