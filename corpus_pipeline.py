@@ -19,9 +19,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated runs go, and documents of which nothing is left; n_chars follows."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs.withColumnRenamed("removed_lines", "__removed_lines"))  # a column of the documents' own, if any
     found = found.where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
-    return found.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = found.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return found.drop("removed_lines").withColumnRenamed("__removed_lines", "removed_lines").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
