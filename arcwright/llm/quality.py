@@ -135,7 +135,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
             words = np.cumsum([0, *(len(r[0]) for r in part)])
             at = np.concatenate([r[1] + w for r, w in zip(part, words)])
             doc_at = np.cumsum([0, *(len(r[1]) for r in part)])[:-1]
-            word = np.concatenate([r[0] for r in part])
+            word = np.concatenate([r[0] for r in part]).astype(np.int32)
             word[~known[word] | (rng.random(word.shape) < LEFT_OUT)] = 0  # rare or left out by chance: the empty bucket
             batch = (word, at, np.concatenate([r[2] for r in part]), doc_at)
             _step(m, state, batch, labels[order[i : i + size]], np.float32(1), 0.01 * 0.6**epoch)
@@ -152,7 +152,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [[], [], []]
             for i in range(to - at):
                 a, b, x, y = word_cut[i], word_cut[i + 1], cut[i], cut[i + 1]
-                for column, v in zip(columns, (p.word[a:b], (p.at[x:y] - a).astype(np.int32), p.measures[x:y])):
+                for column, v in zip(columns, (p.word[a:b].astype(np.uint16), (p.at[x:y] - a).astype(np.int32), p.measures[x:y])):
                     column.append(v.tobytes())
             rest = [batch[c].slice(at, to - at) for c in ("low", "toxic", "rank")]
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.binary()) for c in columns)], names=["low", "toxic", "rank", "word", "at", "measures"])
@@ -179,9 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int, int] = SAMPL
     rows = sorted((r for r in rows if r["word"]), key=lambda r: (r["rank"], bytes(r["word"])))
     if not rows:
         return None
-    read = lambda b, kind: np.frombuffer(bytes(b), kind)
-    parts = [(read(r["word"], np.int32).reshape(-1, 1 + len(_PREFIXES)), read(r["at"], np.int32), read(r["measures"], np.float32).reshape(-1, _FEATURES)) for r in rows]
-    return train(parts, np.array([(r["low"], r["toxic"]) for r in rows], np.float32), epochs, seed=seed)
+    labels = np.array([(r["low"], r["toxic"]) for r in rows], np.float32)
+    parts = []
+    for r in rows:  # views, not copies: with all samples the driver holds them once
+        parts.append((np.frombuffer(r["word"], np.uint16).reshape(-1, 1 + len(_PREFIXES)), np.frombuffer(r["at"], np.int32), np.frombuffer(r["measures"], np.float32).reshape(-1, _FEATURES)))
+    return train(parts, labels, epochs, seed=seed)
 
 
 def predict(m: dict[str, np.ndarray] | None, texts: Texts) -> np.ndarray:
