@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,10 @@ THRESHOLD, START, RECALL = 0.9, 10, 0.95
 TABLES, BLOCK = 8, 256  # hash tables that give the first lists; vectors compared with each other there
 PIVOTS, SAMPLE, ROUNDS = 12, 16, 12  # neighbours joined in a round, and taken of each; at most so many rounds
 WIDE = 48  # both of the last for lists that grow
-AUDIT = 200
+#: Vectors that the audit asks first (fourfold more each time), and vectors with a partner that it must meet, unless all are asked.
+AUDIT, MET = 200, 200
+#: Vectors that are compared with all others at once, in bytes.
+ASKED_BYTES = 8 << 20
 #: Vectors are broadcast up to so many bytes; beyond, they are joined to the candidate pairs.
 BROADCAST_BYTES = 64 << 20
 
@@ -26,13 +31,13 @@ def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch["id"].to_numpy(), x
 
 
-def _codes(tables: int, bits: int):
-    """Rows (t, code, id, v): in each table the signs of the vector's products with some random directions."""
+def _codes(first: int, tables: int, bits: int):
+    """Rows (t, code, id, v): in each table, from the first on, the signs of the vector's products with some random directions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = _unit(batch)
-            for t in range(tables):
+            for t in range(first, first + tables):
                 planes = np.random.default_rng(1000 + t).standard_normal((x.shape[1], bits)).astype(np.float32)
                 code = ((x @ planes > 0).astype(np.int64) << np.arange(bits)).sum(1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(code), batch["id"], batch["v"]], names=["t", "code", "id", "v"])
@@ -102,25 +107,34 @@ def _choose(array: str, number, salt: int):
 def neighbour_graph(rows: DataFrame, threshold: float = THRESHOLD, start: int = START, recall: float = RECALL, rounds: int = ROUNDS, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, float]:
     """Neighbour lists (i, k, js, ss) of vectors (id, v) of length 1, and the recall that the audit measured.
 
-    The first lists come from random-hyperplane tables: vectors next to each other in a table's
+    A sample of vectors is compared with all others, and grows until ``MET`` of them have partners
+    that reach the threshold. If that takes all vectors, what it finds is the result; lists then
+    hold such partners alone.
+
+    Otherwise the first lists come from random-hyperplane tables, so many that a pair at the
+    threshold shares a code with a probability of ``recall``: vectors next to each other in a table's
     order are compared. Then each round joins every vector with lists of some of its neighbours,
     near and reverse ones, and keeps the best. A list whose members all reach the threshold is
-    saturated and grows fourfold. After each round without saturated lists, a sample of vectors is
-    compared with all others; rounds end when the lists hold ``recall`` of what that finds, or
-    change no more.
+    saturated and grows fourfold. After each round the lists are held against the sample; rounds end
+    when none is saturated and they hold ``recall`` of its pairs, counted by pair and as the mean of
+    its vectors. If they end without that, as many tables again are added, and rounds follow; when
+    tables would cost more than comparing all vectors, that is done.
     """
     spark = rows.sparkSession
     vectors = keep(rows)
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or n < 2:
         return vectors.select(F.col("id").alias("i"), F.lit(start).alias("k"), F.array().cast("array<bigint>").alias("js"), F.array().cast("array<float>").alias("ss")), 1.0
+    truth, everything = _audit(vectors, n, width, threshold)
+    if everything:
+        logging.getLogger(__name__).info("%d vectors compared exactly", n)
+        lists = truth.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("s", "j")), False).alias("all"))
+        return keep(lists.select("i", F.size("all").alias("k"), F.col("all.j").alias("js"), F.col("all.s").alias("ss"))), 1.0
     shared = None
     if n * width * 4 <= broadcast_bytes:
         got = sorted((r[0], r[1]) for r in vectors.collect())
         shared = spark.sparkContext.broadcast((np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.float32)))
     bits = max(1, int(np.log2(n / 16))) if n > 32 else 1
-    tables = vectors.mapInArrow(_codes(TABLES, bits), "t int, code bigint, id bigint, v array<float>").repartition("t", "code").sortWithinPartitions("t", "code", "id")
-    found = tables.select("id", "v").mapInArrow(_blocks(start), "i bigint, j bigint, s float")
     best = F.reverse(F.array_sort(F.collect_list(F.struct("s", (-F.col("j")).alias("m")))))
 
     def listed(pairs: DataFrame, sizes: DataFrame | None) -> DataFrame:
@@ -131,51 +145,111 @@ def neighbour_graph(rows: DataFrame, threshold: float = THRESHOLD, start: int =
         full = (F.size("all") >= F.col("k")) & (F.element_at("all", -1)["s"] >= threshold)
         return keep(lists.select("i", F.when(full, F.col("k") * 4).otherwise(F.col("k")).alias("k"), full.alias("full"), F.transform("all", lambda x: -x["m"]).alias("js"), F.col("all.s").alias("ss")))
 
-    now = listed(found, None)
-    measured, last = 0.0, None
-    asked = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
-    truth = keep(_brute(vectors, asked, threshold)) if asked else None
-    for turn in range(rounds):
-        wide = F.when(F.col("k") > start, F.lit(WIDE))
-        near = now.select("i", F.explode(_choose("js", F.coalesce(wide, F.lit(PIVOTS)), 2 * turn)).alias("j"))
-        back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
-        back = back.groupBy("i").agg(F.collect_list("j").alias("js")).select("i", F.explode(_choose("js", F.lit(WIDE), 2 * turn + 1)).alias("j"))
-        links = near.unionByName(back).distinct()
-        lists = now.select(F.col("i").alias("j"), _choose("js", F.coalesce(wide, F.lit(SAMPLE)), 7 * turn + 3).alias("next"))
-        reach = links.join(lists, "j").groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("js"), F.collect_list("j").alias("direct"))
-        known = now.select("i", F.col("js").alias("mine"))
-        fresh = reach.join(known, "i").select("i", F.array_except(F.array_remove(F.array_union("js", "direct"), F.col("i")), "mine").alias("js"))
-        pairs = _similar(fresh, vectors, shared)
-        floor = now.select("i", F.when(F.size("js") >= F.col("k"), F.element_at("ss", -1)).otherwise(F.lit(-2.0)).alias("least"))
-        pairs = pairs.join(floor, "i").where("s > least").drop("least")
-        old = now.select("i", F.explode(F.arrays_zip("js", "ss")).alias("x")).select("i", F.col("x.js").alias("j"), F.col("x.ss").alias("s"))
-        now = listed(old.unionByName(pairs), now.select("i", "k"))
-        grown, size, mark = now.agg(F.sum(F.col("full").cast("int")), F.sum(F.size("js")), F.sum(F.aggregate("ss", F.lit(0.0), lambda a, x: a + x))).first()
-        if not grown:
-            held = now.select("i", F.explode("js").alias("j")).join(truth, ["i", "j"], "left_semi").count()
-            total = truth.count()
-            measured = held / total if total else 1.0
-            if measured >= recall and turn:
+    def pairs_of(lists: DataFrame) -> DataFrame:
+        return lists.select("i", F.explode(F.arrays_zip("js", "ss")).alias("x")).select("i", F.col("x.js").alias("j"), F.col("x.ss").alias("s"))
+
+    def hashed(now: DataFrame | None, first: int, count: int) -> DataFrame:
+        for at in range(first, first + count, TABLES):  # a few at a time, as each shuffles all vectors
+            codes = vectors.mapInArrow(_codes(at, min(TABLES, first + count - at), bits), "t int, code bigint, id bigint, v array<float>")
+            found = codes.repartition("t", "code").sortWithinPartitions("t", "code", "id").select("id", "v").mapInArrow(_blocks(start), "i bigint, j bigint, s float")
+            now = listed(found, None) if now is None else listed(pairs_of(now).unionByName(found), now.select("i", "k"))
+        return now
+
+    tables = max(TABLES, _tables(bits, threshold, recall))
+    now, measured, step = hashed(None, 0, tables), 0.0, 0
+    while True:
+        last = None
+        for turn in range(rounds):
+            wide = F.when(F.col("k") > start, F.lit(WIDE))
+            near = now.select("i", F.explode(_choose("js", F.coalesce(wide, F.lit(PIVOTS)), 2 * step)).alias("j"))
+            back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
+            back = back.groupBy("i").agg(F.collect_list("j").alias("js")).select("i", F.explode(_choose("js", F.lit(WIDE), 2 * step + 1)).alias("j"))
+            links = near.unionByName(back).distinct()
+            lists = now.select(F.col("i").alias("j"), _choose("js", F.coalesce(wide, F.lit(SAMPLE)), 7 * step + 3).alias("next"))
+            reach = links.join(lists, "j").groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("js"), F.collect_list("j").alias("direct"))
+            known = now.select("i", F.col("js").alias("mine"))
+            fresh = reach.join(known, "i").select("i", F.array_except(F.array_remove(F.array_union("js", "direct"), F.col("i")), "mine").alias("js"))
+            pairs = _similar(fresh, vectors, shared)
+            floor = now.select("i", F.when(F.size("js") >= F.col("k"), F.element_at("ss", -1)).otherwise(F.lit(-2.0)).alias("least"))
+            pairs = pairs.join(floor, "i").where("s > least").drop("least")
+            now = listed(pairs_of(now).unionByName(pairs), now.select("i", "k"))
+            step += 1
+            grown, size, mark = now.agg(F.sum(F.col("full").cast("int")), F.sum(F.size("js")), F.sum(F.aggregate("ss", F.lit(0.0), lambda a, x: a + x))).first()
+            measured = _recall(now, truth)
+            if not grown and measured >= recall and turn or last == (size, mark):
                 break
-        if last == (size, mark):
+            last = (size, mark)
+        if measured >= recall:
+            break
+        if 4 * tables * BLOCK >= n:  # twice the tables, in each of which a vector is compared with about two blocks
+            exact = keep(_partners(vectors, n, width, threshold, 0, _buckets(n)))
+            sizes = now.select("i", "k").join(exact.groupBy("i").agg(F.count("*").alias("all")), "i", "full").select("i", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("all", F.lit(0)).alias("all"))
+            now = listed(pairs_of(now).unionByName(exact), sizes.select("i", (F.greatest("k", "all") + 1).cast("int").alias("k")))
+            measured = 1.0
             break
-        last = (size, mark)
+        now, tables = hashed(now, tables, tables), 2 * tables
+    logging.getLogger(__name__).info("recall %.4f with %d tables and %d rounds", measured, tables, step)
     return now.select("i", "k", "js", "ss"), measured
 
 
+def _tables(bits: int, threshold: float, recall: float) -> int:
+    """Tables of which one at least has, with a probability of ``recall``, one code for both vectors of a pair at the threshold."""
+    same = (1 - np.arccos(min(max(threshold, -1.0), 1.0)) / np.pi) ** bits
+    if same >= 1 or recall <= 0:
+        return 1
+    return int(min(np.ceil(np.log(max(1 - recall, 1e-9)) / np.log1p(-max(same, 1e-9))), 1 << 10))
+
+
+def _recall(lists: DataFrame, truth: DataFrame) -> float:
+    """Share of the true pairs (i, j) that the lists hold, or the mean of the vectors' shares if that is less."""
+    held = lists.select("i", F.explode("js").alias("j"), F.lit(1).alias("held"))
+    own = truth.join(held, ["i", "j"], "left").groupBy("i").agg(F.count("*").alias("all"), F.count("held").alias("held"))
+    pairs, vectors = own.agg(F.sum("held") / F.sum("all"), F.avg(F.col("held") / F.col("all"))).first()
+    return 1.0 if pairs is None else min(pairs, vectors)
+
+
+def _buckets(n: int) -> int:
+    return -(-n // AUDIT)
+
+
+def _audit(vectors: DataFrame, n: int, width: int, threshold: float) -> tuple[DataFrame, bool]:
+    """All partners (i, j, s) of a sample of the vectors in which ``MET`` have one, and whether the sample is all of them."""
+    parts, met, at, to = [], 0, 0, 1
+    while True:
+        parts.append(keep(_partners(vectors, n, width, threshold, at, to)))
+        met += parts[-1].select("i").distinct().count()
+        if met >= MET or to == _buckets(n):
+            return reduce(DataFrame.unionByName, parts), to == _buckets(n)
+        at, to = to, min(4 * to, _buckets(n))
+
+
+def _partners(vectors: DataFrame, n: int, width: int, threshold: float, at: int, to: int) -> DataFrame:
+    """Partners (i, j, s) of the vectors in some buckets of about ``AUDIT``, compared with all others a part at a time."""
+    step = max(1, ASKED_BYTES // (4 * width * AUDIT))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(_buckets(n)))
+    parts = []
+    for low in range(at, to, step):
+        asked = vectors.where((bucket >= low) & (bucket < min(low + step, to))).select("id", "v").toArrow().to_batches()
+        parts.append(_brute(vectors, [_unit(b) for b in asked if len(b)], threshold))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _brute(vectors: DataFrame, asked: list, threshold: float) -> DataFrame:
-    """All partners (i, j) that reach the threshold of the vectors asked for, by comparing with every vector."""
-    ids, q = np.array([r[0] for r in asked], np.int64), np.array([r[1] for r in asked], np.float32)
+    """All partners (i, j, s) that reach the threshold of the vectors asked for, by comparing with every vector."""
+    width = asked[0][1].shape[1] if asked else 1
+    ids, q = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in asked)]), np.concatenate([np.zeros((0, width), np.float32), *(x for _, x in asked)])
     context = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = context.value
         for batch in batches:
             own, x = _unit(batch)
-            a, b = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != own[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b])], names=["i", "j"])
+            for at in range(0, len(ids) if len(own) else 0, 1024):
+                s = q[at : at + 1024] @ x.T
+                a, b = np.nonzero((s >= threshold) & (ids[at : at + 1024, None] != own[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1024][a]), pa.array(own[b]), pa.array(s[a, b])], names=["i", "j", "s"])
 
-    return vectors.mapInArrow(run, "i bigint, j bigint")
+    return vectors.select("id", "v").mapInArrow(run, "i bigint, j bigint, s float")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, start: int = START, recall: float = RECALL, rounds: int = ROUNDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -183,7 +257,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, start:
 
     Equal vectors are one node of the graph; each further one has an edge to the lowest vec_id of its
     equals, and the graph's edges are between those. The search is approximate; see
-    :func:`neighbour_graph` for the audit that ends it.
+    :func:`neighbour_graph` for the audit, without whose recall it doesn't end.
 
     Null or empty vectors, such with a null, NaN or infinite element or of length 0, and those whose
     dimension isn't the most common one (ties: the larger) have no duplicates. Null vec_ids are not

@@ -81,6 +81,19 @@ def test_neighbours(spark, limit):
     assert nn_descent.near_duplicates(frame.limit(0)).collect() == [] and nn_descent.near_duplicates(frame.limit(1)).collect() == []
 
 
+@pytest.mark.parametrize("pairs, limit", [(60, 64 << 20), (1000, 64 << 20), (1000, 0)])
+def test_neighbours_of_isolated_pairs(spark, pairs, limit):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:pairs] = 0.65 * x[pairs : 2 * pairs] + np.sqrt(1 - 0.65**2) * x[:pairs]  # far apart for hash tables, and no path leads there
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(y @ y.T >= 0.6, 1)))}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {(r["vec_a"], r["vec_b"]) for r in nn_descent.near_duplicates(frame, threshold=0.6, start=1, rounds=1, broadcast_bytes=limit).collect()}
+    assert len(want) > 0.7 * pairs and len(found & want) >= (1 if pairs == 60 else 0.95) * len(want) and len(found - want) <= 1
+
+
 def _labelled(n, seed):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefghijklm") for _ in range(4)) for _ in range(300)]
