@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from arcwright.llm._graph import keep
 from arcwright.llm._text import Texts, Words, mix, slices
 
-#: Words of the vocabulary: the most frequent of the whole corpus, and buckets of all others.
+#: What the network predicts: the most frequent words of the whole corpus, and buckets of all others. A bucket's words share its
+#: probability as they occur in the corpus.
 KNOWN, BUCKETS = 3840, 256
 WINDOW, DIM, HIDDEN = 2, 16, 32
 #: Share of the words of every document that a round of training masks, and the rounds.
@@ -31,10 +32,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(total)], names=["h", "n"])
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> np.ndarray:
-    """Hashes of the corpus's most frequent words, counted over all documents; ties go to the lower hash."""
-    counts = docs.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(known).collect()], np.int64).view(np.uint64)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n) of every word of the corpus, counted over all documents."""
+    return docs.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[np.ndarray, DataFrame]:
+    """Hashes of the most frequent words, ties going to the lower hash; and (h, share) of all others: the logarithm of a word's share of its bucket."""
+    top = [(r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(known).collect()]
+    h, n = top[-1] if top else (0, 0)
+    rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h))).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    sums = F.broadcast(rest.groupBy("b").agg(F.sum("n").alias("all")))
+    return np.array([x for x, _ in top], np.int64).view(np.uint64), rest.join(sums, "b").select("h", F.log(F.col("n") / F.col("all")).alias("share"))
 
 
 class Ids:
@@ -203,6 +212,8 @@ def train(docs: DataFrame, known: np.ndarray, masked: float = MASKED, rounds: in
 
 
 def _scored(model, known):
+    """Rows (rid, doc_id, n_words, network, hs, ns): the sum of the network's logarithms, and the words that are in buckets with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(known.value)
         for batch in batches:
@@ -212,10 +223,17 @@ def _scored(model, known):
                 p = log_probabilities(model.value, contexts(words, ids), ids).astype(np.float64)
                 sums = np.concatenate([[0], np.cumsum(p)])
                 total = sums[words.first + words.count] - sums[words.first]
-                mean = total / np.maximum(words.count, 1)
+                other = ids >= KNOWN
+                doc, h = np.repeat(np.arange(to - at), words.count)[other], words.hash[other]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(h))).astype(np.int64)
+                offsets = pa.array(np.searchsorted(doc[first], np.arange(to - at + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), pa.array(total), pa.array(mean, mask=words.count == 0)],
-                    names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
+                    [batch["rid"].slice(at, to - at), batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), pa.array(total)]
+                    + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].view(np.int64), n)],
+                    names=["rid", "doc_id", "n_words", "network", "hs", "ns"],
                 )
 
     return run
@@ -225,15 +243,22 @@ def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: i
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every document.
 
     log_likelihood is the sum over all words of the logarithm of their probability given the
-    ``WINDOW`` words on either side, by a network that predicts (id // 64, then id % 64). Vocabulary
-    counts and training cover all documents.
+    ``WINDOW`` words on either side, by a network that predicts (id // 64, then id % 64). Ids are
+    the ``KNOWN`` most frequent words and buckets of the others; the probability of a word in a
+    bucket is the bucket's times the word's share of its occurrences, so that every word of the
+    corpus has a probability of its own. Counts and training cover all documents.
 
     Null and empty texts have 0 words, 0 and null. Every row is scored by itself, repeated ones and
     null doc_ids too. Other columns are not carried. No rows: none.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = vocabulary(docs)
-    model = train(docs, known, masked, rounds, seed)
+    top, shares = vocabulary(keep(word_counts(docs)))
+    model = train(docs, top, masked, rounds, seed)
     context = docs.sparkSession.sparkContext
-    schema = T.StructType.fromDDL("doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double")
-    return docs.mapInArrow(_scored(context.broadcast(model), context.broadcast(known)), schema)
+    schema = T.StructType.fromDDL("rid bigint, doc_id bigint, n_words bigint, network double, hs array<bigint>, ns array<bigint>")
+    rows = keep(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_scored(context.broadcast(model), context.broadcast(top)), schema))
+    words = rows.select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
+    inside = words.join(shares, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
+    total = F.col("network") + F.coalesce("inside", F.lit(0.0))
+    rows = rows.select("rid", "doc_id", "n_words", "network").join(inside, "rid", "left").withColumn("log_likelihood", total)
+    return rows.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))

@@ -176,6 +176,24 @@ def test_language_model(spark):
     assert abs(total - 1) < 1e-3  # a distribution over the vocabulary
 
 
+def test_words_of_a_bucket_share_its_probability(spark):
+    rng = random.Random(12)
+    often, seldom = [f"often{i}" for i in range(3000)], [f"seldom{i}" for i in range(1500)]
+    texts = [" ".join(f"known{rng.randrange(3840)}" for _ in range(2000)) for _ in range(60)] + [" ".join(often)] * 4 + [" ".join(seldom), "known1 seldom5 seldom5", None]
+    counts = lm_score.word_counts(docs(spark, texts))
+    top, shares = lm_score.vocabulary(counts)
+    share, n = {r["h"]: r["share"] for r in shares.collect()}, {r["h"]: r["n"] for r in counts.collect()}
+    assert len(top) == lm_score.KNOWN and len(share) + len(top) == len(n)
+    sums = {}
+    for h, x in share.items():
+        sums[h % lm_score.BUCKETS] = sums.get(h % lm_score.BUCKETS, 0) + np.exp(x)
+    assert max(abs(x - 1) for x in sums.values()) < 1e-9  # a distribution over the words of each bucket
+    mean = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_score.score(docs(spark, texts).repartition(3)).collect()}
+    usual = np.mean([mean[i] for i in range(60)])
+    assert len(mean) == len(texts) and mean[64] < mean[60] < usual - 0.2  # the rarer the words, the less likely
+    assert mean[66] is None
+
+
 def _page(i, body, extra=""):
     return f'<html><head><title>Title {i}</title><script>var x = "</p>{i}";</script></head><body><div class="nav"><a href="/{i}">Home</a> | <a>About</a></div><h1>Head {i}</h1><div id=main>{body}</div>{extra}<footer>Copyright &copy; Site · page{i}</footer></body></html>'
 
