@@ -17,8 +17,8 @@ from arcwright.llm._text import Texts, Words, mix, slices
 #: probability as they occur in the corpus.
 KNOWN, BUCKETS = 3840, 256
 WINDOW, DIM, HIDDEN = 2, 16, 32
-#: Share of the words of every document that a round of training masks, and the rounds.
-MASKED, ROUNDS = 0.08, 2
+#: Share of the words of every document that a round of training masks, and the rounds; together they mask every word once.
+MASKED, ROUNDS = 0.5, 2
 _SIDE = 64  # a word's id is predicted as (id // 64, id % 64)
 _SIZE = KNOWN + BUCKETS
 
@@ -153,6 +153,15 @@ def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _chosen(words: Words, masked: float, turn: int) -> np.ndarray:
+    """Positions that a round masks, by the words' text and place alone, not by how rows are split; rounds take disjoint ones until all were masked."""
+    local = np.arange(len(words.hash)) - np.repeat(words.first, words.count)
+    chance = (mix(words.hash + local.astype(np.uint64) * np.uint64(31)) >> np.uint64(40)).astype(np.int64)
+    one = 1 << 24
+    at, to = round(turn * masked * one), round((turn + 1) * masked * one)
+    return np.flatnonzero((chance - at) % one < to - at)
+
+
 def _local(model, known, masked: float, turn: int, size: int = 1024):
     """Trains on one partition from the common weights on; one row: positions seen and weights times positions."""
 
@@ -165,10 +174,7 @@ def _local(model, known, masked: float, turn: int, size: int = 1024):
                 words = Texts.of(batch["text"], at, to).words()
                 ids = ids_of(words.hash)
                 context = contexts(words, ids)
-                # which words are masked depends on their text and place alone, not on how rows are split
-                local = np.arange(len(ids)) - np.repeat(words.first, words.count)
-                chance = mix(words.hash + local.astype(np.uint64) * np.uint64(31) + np.uint64(turn)) >> np.uint64(40)
-                chosen = np.flatnonzero(chance < masked * (1 << 24))
+                chosen = _chosen(words, masked, turn)
                 for i in range(0, len(chosen), size):
                     part = chosen[i : i + size]
                     _step(m, state, context[part], ids[part])

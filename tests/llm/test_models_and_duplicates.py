@@ -176,6 +176,12 @@ def test_language_model(spark):
     assert abs(total - 1) < 1e-3  # a distribution over the vocabulary
 
 
+def test_training_masks_every_word_once():
+    words = Texts([" ".join(f"w{i % 700}" for i in range(5000)), None, "one two"]).words()
+    parts = [lm_score._chosen(words, lm_score.MASKED, turn) for turn in range(lm_score.ROUNDS)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(5002))
+
+
 def test_words_of_a_bucket_share_its_probability(spark):
     rng = random.Random(12)
     often, seldom = [f"often{i}" for i in range(3000)], [f"seldom{i}" for i in range(1500)]
