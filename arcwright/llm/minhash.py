@@ -14,9 +14,9 @@ from arcwright.llm._graph import components, keep
 from arcwright.llm._text import Texts, grams, mix, slices
 
 K, SHINGLE, THRESHOLD = 64, 3, 0.5
-#: Share of its sketch that a document retains in common with any partner at THRESHOLD, but for chances under 1 in 100: a
+#: Share of its sketch that a document retains in common with any partner at THRESHOLD, but for chances of about 1 in 10 000: a
 #: partner half or twice as long shares half of the sketch on average, one of equal length two thirds.
-COMMON = 0.34
+COMMON = 0.25
 #: Ids whose texts are verified are broadcast up to so many rows, to shuffle no other text; beyond, joined.
 BROADCAST_IDS = 2_000_000
 
@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, s
     3. Every node is paired with the lowest node of each of its lists, estimated from the union
        sketch and verified on the exact sets. Then all pairs of a list that lie in different
        components so far: pairs within a component can't change the result. So a group of m edited
-       copies costs in proportion to m, and no list and no candidate is cut off.
+       copies costs in proportion to m, and no list is cut off. Pairs are only lost by chance: where
+       their sketches share less than ``common_share``, or far less than the threshold lets expect.
 
     A text without words, null included, has no duplicates; one of fewer than ``size`` words is one
     shingle. Null doc_ids are not compared. Rows of equal doc_id are one document, of which any row

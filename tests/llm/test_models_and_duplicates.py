@@ -62,6 +62,17 @@ def test_near_duplicates(spark, few):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_unlike_sketches(spark):
+    for seed in range(20000):  # a text and its half, whose sketches have few values in common by chance
+        words = [f"s{seed}w{i}" for i in range(194)]
+        texts = [" ".join(words), " ".join(words[:98])]
+        a, b = minhash.shingle_sets(texts, 3)
+        if 16 <= len(np.intersect1d(a[:64], b[:64])) <= 20:
+            break
+    assert 16 <= len(np.intersect1d(a[:64], b[:64])) <= 20 and len(np.intersect1d(a, b)) * 2 == len(a)
+    assert [tuple(r) for r in minhash.near_duplicates(docs(spark, texts)).collect()] == [(1, 0)]
+
+
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_neighbours(spark, limit):
     rng = np.random.default_rng(6)
