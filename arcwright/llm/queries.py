@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwright.llm._text import _SPACES
 from arcwright.llm import bpe, decontaminate, html_extract, line_dedup, lm_score, minhash, nn_descent, quality, secrets, token_counts
 
 
@@ -70,25 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nn_descent": op10_nn_descent,
 }
 
-_LINES = r"""
-with marked as (
-  select doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-      '([.!?,;:]\s)', '\1' || chr(1), 'g'), chr(1) || '(\s)', '\1', 'g'),
-      '(\n)', '\1' || chr(2), 'g'), chr(2) || '(\n)', '\1', 'g'),
-      '[' || chr(1) || chr(2) || ']+', chr(1), 'g') as m
-  from documents),
-lines as (
-  select doc_id, row_number() over (partition by doc_id order by j) as i, l, trim(l, chr(32) || chr(9) || chr(10) || chr(13)) as k
-  from (select doc_id, unnest(string_split(m, chr(1))) as l, generate_subscripts(string_split(m, chr(1)), 1) as j from marked)
-  where trim(l, chr(32) || chr(9) || chr(10) || chr(13)) <> ''),
+_WHITE = "||".join(f"chr({c})" for c in _SPACES if c != 10)
+_LINES = f"""
+with physical as (
+  select doc_id, j, l || case when j < n then chr(10) else '' end as l, trim(l, {_WHITE}) as k
+  from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as j, len(string_split(text, chr(10))) as n from documents)),
+counted as (select *, sum(cast(k <> '' as int)) over (partition by doc_id order by j) as i from physical),
+lines as (select doc_id, i, k from counted where k <> ''),
 windows as (
-  select * from (select doc_id, i, k || chr(3) || lead(k, 1) over w || chr(3) || lead(k, 2) over w as w3, len(k) + lead(len(k), 1) over w + lead(len(k), 2) over w as c from lines window w as (partition by doc_id order by i)) where w3 is not null and c >= 40),
+  select * from (select doc_id, i, k || chr(10) || lead(k, 1) over w || chr(10) || lead(k, 2) over w as w3 from lines window w as (partition by doc_id order by i)) where w3 is not null),
 later as (
   select doc_id, i from (select doc_id, i, row_number() over (partition by w3 order by doc_id, i) as n from windows) where n > 1),
-marks as (
-  select l.doc_id, l.i, l.l, exists (select 1 from later x where x.doc_id = l.doc_id and x.i between l.i - 2 and l.i) as gone from lines l),
+gone as (select distinct doc_id, i + unnest([0, 1, 2]) as i from later),
 totals as (
-  select doc_id, cast(count(*) filter (where gone) as bigint) as removed_lines, coalesce(string_agg(l, '' order by i) filter (where not gone), '') as kept from marks group by doc_id)
+  select c.doc_id, cast(count(*) filter (where g.i is not null and k <> '') as bigint) as removed_lines, coalesce(string_agg(l, '' order by j) filter (where g.i is null), '') as kept
+  from counted c left join gone g on g.doc_id = c.doc_id and g.i = greatest(c.i, 1) group by c.doc_id)
 """
 
 SQL: dict[str, str] = {

@@ -62,43 +62,49 @@ def test_encoding(spark):
     assert bpe.encode(docs(spark, [])).collect() == [] and bpe.decode(bpe.encode(docs(spark, []))).collect() == []
 
 
-def _brute_lines(texts, window=3, least=40):
-    def lines(t):
-        found = [m.span() for m in re.finditer(r".*?(?:\n+(?!\n)|[.!?,;:]\s(?=\S)|\Z)", t, re.S) if m.group()]
-        return [(a, b) for a, b in found if t[a:b].strip()]
-
+def _brute_lines(texts, window=3):
     seen, out = set(), []
     for t in texts:
         if t is None:
             out.append((None, 0))
             continue
-        spans = lines(t)
+        pieces = []  # (key, text), blank lines with the line before them
+        for line in re.findall(r"[^\n]*\n|[^\n]+", t):
+            if line.strip() or not pieces:
+                pieces.append([line.strip(), line])
+            elif pieces:
+                pieces[-1][1] += line
+            if len(pieces) > 1 and not pieces[0][0]:
+                pieces[:2] = [[pieces[1][0], pieces[0][1] + pieces[1][1]]]
+        pieces = [p for p in pieces if p[0]]
         gone = set()
-        for i in range(len(spans) - window + 1):
-            w = tuple(t[a:b].strip() for a, b in spans[i : i + window])
-            if sum(map(len, w)) < least:
-                continue
+        for i in range(len(pieces) - window + 1):
+            w = tuple(k for k, _ in pieces[i : i + window])
             if w in seen:
                 gone |= set(range(i, i + window))
             seen.add(w)
-        out.append((t if not gone else "".join(t[a:b] for k, (a, b) in enumerate(spans) if k not in gone), len(gone)))
+        out.append((t if not gone else "".join(x for k, (_, x) in enumerate(pieces) if k not in gone), len(gone)))
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_line_dedup(spark, hot):
     rng = random.Random(2)
-    pool = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(rng.randint(1, 6))) for _ in range(12)]
-    texts = [None, "", "one\ntwo\nthree", "\n\n", "x " * 30000] + ["".join(rng.choice(pool) + rng.choice([". ", "\n", "\n\n", ", ", "; "]) for _ in range(rng.randint(0, 40))) for _ in range(30)]
-    texts += [texts[10], texts[11] + "\nnew end"]
+    pool = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(rng.randint(1, 6))) for _ in range(12)] + ["}", "\u3000é. x, y; z", "- a"]
+    texts = [None, "", "one\ntwo\nthree", "\n\n", "x " * 30000, "a line\n" * 7000, " \n\t\n}\n}\n}\n}"]
+    texts += ["".join(rng.choice(["", "", "\n", " \n\n"]) + rng.choice(pool) + rng.choice(["\n", "\n", " \n", "\n\n", "\r\n", ". "]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [texts[10], texts[11] + "\nnew end", "\n \n" + texts[12]]
     frame = docs(spark, texts).withColumnRenamed("source", "removed_lines").withColumnRenamed("lang", "w")
-    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame, hot=hot).collect()}
     assert [(rows[i]["text"], rows[i]["removed_lines"]) for i in range(len(texts))] == _brute_lines(texts)
-    assert rows[len(texts) - 2]["text"] == "" or rows[len(texts) - 2]["removed_lines"] > 0
-    body = "first long line here\nsecond long line here\nthird long line here\n"
+    assert rows[len(texts) - 3]["text"] == "" and rows[5]["removed_lines"] == 6999 and rows[6]["removed_lines"] == 3
+    body = "first line here\nsecond\n3\n"
     ties = spark.createDataFrame([(1, body), (1, body), (None, body), (2, body), (3, body + "tail")], "doc_id bigint, text string")
-    found = sorted((r["doc_id"] or 9, r["text"]) for r in line_dedup.dedup_lines(ties).collect())
+    found = sorted((r["doc_id"] or 9, r["text"]) for r in line_dedup.dedup_lines(ties, hot=hot).collect())
     assert found == [(1, body), (1, body), (2, ""), (3, "tail"), (9, "")]
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+    sentences = "One sentence. Another one, with a clause; a third. A fourth: the end."
+    assert [r["removed_lines"] for r in line_dedup.dedup_lines(docs(spark, [sentences, sentences])).collect()] == [0, 0]  # one line
 
 
 def _item(n, seed):
