@@ -40,5 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, hot: int) -> DataFrame:
+    """Inner join with a table of unique keys whose column ``n`` counts the rows of each key.
+
+    Keys of ``hot`` rows and more are joined by broadcast, so that no task holds one key's rows; there are
+    at most as many of them as rows divided by ``hot``. All others are shuffled. ``rows`` is read twice.
+    """
+    often = F.broadcast(keyed.where(F.col(n) >= hot))
+    rest = keyed.where(F.col(n) < hot)
+    return rows.join(often, on).unionByName(rows.join(often.select(*on), on, "left_anti").join(rest, on))

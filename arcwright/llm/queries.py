@@ -105,4 +105,12 @@ per as (select doc_id, any_value(n) as n, count(distinct m * 10000000 + i) as wi
 named as (select doc_id, string_agg(cast(item_id as varchar), ',' order by item_id) as items from (select distinct doc_id, item_id from hits) group by doc_id)
 select doc_id, cast(windows as bigint) as windows, cast(n as bigint) as words, c / n as share, case when c / n >= 0.5 then 'drop' else 'cut' end as action, items
 from per join covered using (doc_id) join named using (doc_id)""",
+    "op10_nn_descent": """
+with recursive linked as (
+  select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.9),
+reached as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reached r join linked l on l.a = r.b),
+least as (select a as vec_id, min(b) as class_id from reached group by a),
+counted as (select a as vec_id, count(*) as links from linked group by a)
+select vec_id, class_id, coalesce(links, 0) as links from least left join counted using (vec_id)""",
 }

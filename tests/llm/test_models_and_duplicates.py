@@ -73,23 +73,51 @@ def test_near_duplicates_of_unlike_sketches(spark):
     assert [tuple(r) for r in minhash.near_duplicates(docs(spark, texts)).collect()] == [(1, 0)]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_neighbours(spark, limit):
+def _brute_links(x, threshold):
+    """(class, links) of each row: components and degrees of the pairs that reach the threshold."""
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = y @ y.T >= threshold
+    np.fill_diagonal(near, False)
+    root = _groups(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+    return {i: (root.get(i, i), int(near[i].sum())) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("limit, hot, met", [(64 << 20, 10**5, 10**9), (64 << 20, 5, 20), (0, 10**5, 20)])
+def test_neighbours(spark, limit, hot, met, monkeypatch):
+    monkeypatch.setattr(nn_descent, "MET", met)
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((900, 16))
-    x[:120] = x[0] + 0.05 * rng.standard_normal((120, 16))  # more copies than a list holds at first
+    x = rng.standard_normal((1200, 16))
+    x[:120] = x[0] + 0.05 * rng.standard_normal((120, 16))  # more copies than a list holds
+    x[120:180] = x[0] + 0.3 * rng.standard_normal((60, 16))  # around them, linked with some
     for i in range(200, 300):
         x[i] = x[i + 100] + 0.08 * rng.standard_normal(16)
-    x[500] = x[501]
+    x[500] = x[501] = x[502]
+    walk = np.cumsum(0.25 * rng.standard_normal((150, 16)), axis=0) + x[600]
+    x[600:750] = walk  # a chain in which ends are far apart
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(None, x[0].tolist(), 0), (2000, None, 0), (2001, [], 0), (2002, [0.0] * 16, 0), (2003, [float("nan")] * 16, 0), (2004, [1.0, 2.0], 0), (2005, [None] * 16, 0), (5, x[5].tolist(), 1)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumnRenamed("label", "id")
-    found = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in nn_descent.near_duplicates(frame, broadcast_bytes=limit).collect()}
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = y @ y.T
-    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(s >= 0.9, 1)))}
-    assert len(set(found) & want) >= 0.97 * len(want) and not set(found) - want and (500, 501) in found
-    assert all(abs(c - s[a, b]) < 1e-5 for (a, b), c in found.items())
-    assert nn_descent.near_duplicates(frame.limit(0)).collect() == [] and nn_descent.near_duplicates(frame.limit(1)).collect() == []
+    got = nn_descent.near_duplicates(frame, broadcast_bytes=limit, hot=hot).collect()
+    found, want = {r["vec_id"]: (r["class_id"], r["links"]) for r in got}, _brute_links(x, 0.9)
+    assert len(got) == len(found) == len(x) + 6 and all(found[i] == (i, 0) for i in range(2000, 2006))
+    if met == 10**9:  # all were asked
+        assert all(found[i] == w for i, w in want.items())
+    total = sum(n for _, n in want.values())
+    assert all(found[i][1] <= n for i, (_, n) in want.items()) and sum(found[i][1] for i in want) >= 0.97 * total and found[500] == found[501] == found[502] == want[500]
+    assert sum(found[i][0] == w[0] for i, w in want.items()) >= 0.98 * len(want)
+    assert nn_descent.near_duplicates(frame.limit(0)).collect() == [] and [tuple(r) for r in nn_descent.near_duplicates(frame.limit(1)).collect()] == [(0, 0, 0)]
+
+
+def test_classes_of_vectors(spark):
+    """Few representatives stand for a large group, and all members are close to theirs."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 32))
+    x[:2000] = x[0] + 0.05 * rng.standard_normal((2000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    found = nn_descent.classes(frame, 3000, 7, hot=50).collect()
+    assert len({r["rep"] for r in found}) <= 2 and len({r["id"] for r in found}) == len(found) >= 1990
+    reps = {r["rep"] for r in found}
+    assert not reps & {r["id"] for r in found} and all(abs(x[r["id"]] @ x[r["rep"]] - r["s"]) < 1e-5 and r["s"] >= 0.9746 for r in found)
 
 
 @pytest.mark.parametrize("pairs, limit", [(60, 64 << 20), (1000, 64 << 20), (1000, 0)])
@@ -98,11 +126,11 @@ def test_neighbours_of_isolated_pairs(spark, pairs, limit):
     x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[:pairs] = 0.65 * x[pairs : 2 * pairs] + np.sqrt(1 - 0.65**2) * x[:pairs]  # far apart for hash tables, and no path leads there
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(y @ y.T >= 0.6, 1)))}
+    want = _brute_links(x, 0.6)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    found = {(r["vec_a"], r["vec_b"]) for r in nn_descent.near_duplicates(frame, threshold=0.6, start=1, rounds=1, broadcast_bytes=limit).collect()}
-    assert len(want) > 0.7 * pairs and len(found & want) >= (1 if pairs == 60 else 0.95) * len(want) and len(found - want) <= 1
+    found = {r["vec_id"]: r["links"] for r in nn_descent.near_duplicates(frame, threshold=0.6, start=1, rounds=1, broadcast_bytes=limit).collect()}
+    total = sum(n for _, n in want.values())
+    assert total > 1.4 * pairs and sum(found.values()) >= (1 if pairs == 60 else 0.95) * total - 2 and all(found[i] <= n + 1 for i, (_, n) in want.items())
 
 
 def _labelled(n, seed):
