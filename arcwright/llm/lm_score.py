@@ -8,135 +8,165 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arcwright.llm._graph import keep
 from arcwright.llm._text import Texts, Words, mix, slices
 
-#: What the network predicts: the most frequent words of the whole corpus, and buckets of all others. A bucket's words share its
-#: probability as they occur in the corpus.
-KNOWN, BUCKETS = 3840, 256
-WINDOW, DIM, HIDDEN = 2, 16, 32
+#: What the network predicts: the most frequent words of the whole corpus, and buckets of all others by how they begin. A bucket's
+#: words share its probability as they occur in the corpus.
+KNOWN, BUCKETS, BEGIN = 3840, 256, 2
+WINDOW, DIM, HIDDEN = 2, 8, 16
 #: Share of the words of every document that a round of training masks, and the rounds; together they mask every word once.
 MASKED, ROUNDS = 0.5, 2
-_SIDE = 64  # a word's id is predicted as (id // 64, id % 64)
+#: Words of a shard. One shard is trained on by one task, and shards follow the corpus alone, not how rows are split.
+SHARD = 4_000_000
+STEP = 4096  # words that a step of training takes
+_SIDE = 64  # a word's id is predicted as id // 64, then id % 64
 _SIZE = KNOWN + BUCKETS
 
 
+def _buckets(words: Words) -> np.ndarray:
+    return (words.hasher.ranges(words.start, np.minimum(words.start + BEGIN, words.end)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(Texts.of(batch["text"], at, to).words().hash, return_counts=True) for at, to in slices(batch["text"])]
-        h, n = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]), np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
-        uniq, inverse = np.unique(h, return_inverse=True)
-        total = np.bincount(inverse, n, len(uniq)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(total)], names=["h", "n"])
+        parts = []
+        for at, to in slices(batch["text"]):
+            words = Texts.of(batch["text"], at, to).words()
+            h, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+            parts.append((h, _buckets(words)[first], n))
+        if parts:
+            h, b, n = (np.concatenate(x) for x in zip(*parts))
+            h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            total = np.bincount(inverse, n, len(h)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b[first]), pa.array(total)], names=["h", "b", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n) of every word of the corpus, counted over all documents."""
-    return docs.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    """(h, b, n) of every word of the corpus: its hash, bucket and count over all documents."""
+    return docs.select("text").mapInArrow(_count, "h bigint, b int, n bigint").groupBy("h").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[np.ndarray, DataFrame]:
     """Hashes of the most frequent words, ties going to the lower hash; and (h, share) of all others: the logarithm of a word's share of its bucket."""
     top = [(r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(known).collect()]
     h, n = top[-1] if top else (0, 0)
-    rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h))).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    sums = F.broadcast(rest.groupBy("b").agg(F.sum("n").alias("all")))
+    rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
+    sums = F.broadcast(rest.groupBy("b").agg(F.sum("n").alias("all")))  # at most BUCKETS rows
     return np.array([x for x, _ in top], np.int64).view(np.uint64), rest.join(sums, "b").select("h", F.log(F.col("n") / F.col("all")).alias("share"))
 
 
 class Ids:
-    """Ids of words by a vocabulary; unknown words fall into buckets by hash."""
+    """Ids of words by a vocabulary; unknown words fall into buckets."""
 
     def __init__(self, known: np.ndarray):
         order = np.argsort(known)
         self.keys, self.ids = known[order], order.astype(np.int32)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        ids = (KNOWN + (hashes % np.uint64(BUCKETS))).astype(np.int32)
+    def __call__(self, words: Words) -> np.ndarray:
+        ids = KNOWN + _buckets(words)
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            hit = self.keys[at] == hashes
+            at = np.minimum(np.searchsorted(self.keys, words.hash), len(self.keys) - 1)
+            hit = self.keys[at] == words.hash
             ids[hit] = self.ids[at[hit]]
         return ids
 
 
 def start(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+    draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
     zero = lambda *shape: np.zeros(shape, np.float32)
     return {
         "E": (rng.standard_normal((_SIZE + 1, DIM)) * 0.3).astype(np.float32), "A": draw(2 * WINDOW * DIM, HIDDEN), "a": zero(HIDDEN),
-        "H": draw(HIDDEN, _SIDE), "h": zero(_SIDE), "C": zero(_SIDE, HIDDEN), "L": draw(HIDDEN, _SIDE), "l": zero(_SIDE, _SIDE),
+        "H": draw(HIDDEN, _SIDE), "h": zero(_SIDE), "L": draw(_SIDE, HIDDEN, _SIDE) * np.float32(0.3), "l": zero(_SIDE, _SIDE),
     }
 
 
-def contexts(words: Words, ids: np.ndarray) -> np.ndarray:
-    """Ids of the WINDOW words before and behind each word, and _SIZE beyond the text's ends."""
+def contexts(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Ids of the WINDOW words before and behind each word of texts of so many words, and _SIZE beyond a text's ends."""
     n = len(ids)
-    local = np.arange(n) - np.repeat(words.first, words.count)
-    left = words.left()
+    first = np.repeat(np.cumsum(count) - count, count)
+    local = np.arange(n) - first
+    left = np.repeat(count, count) - local
     out = np.full((n, 2 * WINDOW), _SIZE, np.int32)
     for j in range(1, WINDOW + 1):
-        before, behind = local >= j, left > j
-        out[before, WINDOW - j] = ids[np.flatnonzero(before) - j]
-        out[behind, WINDOW + j - 1] = ids[np.flatnonzero(behind) + j]
+        out[j:, WINDOW - j] = np.where(local[j:] >= j, ids[:-j], _SIZE) if n > j else _SIZE
+        out[:-j, WINDOW + j - 1] = np.where(left[:-j] > j, ids[j:], _SIZE) if n > j else _SIZE
     return out
 
 
+_ONES = np.ones((_SIDE, 1), np.float32)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x @ _ONES.astype(x.dtype)
     return x
 
 
 def _forward(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray):
+    """Of words sorted by id: probabilities of the first digit, and of the second given the first."""
     e = m["E"][context].reshape(len(ids), -1)
     z = np.tanh(e @ m["A"] + m["a"])
-    hi, lo = ids // _SIDE, ids % _SIDE
+    hi = ids // _SIDE
     p = _softmax(z @ m["H"] + m["h"])
-    y = z + m["C"][hi]
-    q = _softmax(y @ m["L"] + m["l"][hi])
-    return e, z, y, hi, lo, p, q
+    cut = np.searchsorted(hi, np.arange(_SIDE + 1))
+    runs = [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+    q = np.empty((len(ids), _SIDE), z.dtype)
+    for k, run in runs:
+        np.add(z[run] @ m["L"][k], m["l"][k], out=q[run])
+    return e, z, hi, ids % _SIDE, p, _softmax(q), runs
 
 
-def log_probabilities(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, step: int = 8192) -> np.ndarray:
+def log_probabilities(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, step: int = 2 * STEP) -> np.ndarray:
     """Of each word, given the words on both sides."""
     out = np.empty(len(ids), np.float32)
     for i in range(0, len(ids), step):
-        part = ids[i : i + step]
-        *_, hi, lo, p, q = _forward(m, context[i : i + step], part)
-        row = np.arange(len(part))
-        out[i : i + step] = np.log(p[row, hi] * q[row, lo] + 1e-30)
+        order = np.argsort(ids[i : i + step], kind="stable") + i
+        _, _, hi, lo, p, q, _ = _forward(m, context[order], ids[order])
+        row = np.arange(len(order))
+        out[order] = np.log(p[row, hi] * q[row, lo] + 1e-30)
     return out
 
 
-def _step(m, state, context, ids, rate=0.1):
-    e, z, y, hi, lo, p, q = _forward(m, context, ids)
+def gradients(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], tuple, list]:
+    """Of the mean negative log-probability of words sorted by id: of all weights but E and those of the second digit; (rows, values) of E; (k, L, l) of the first digits that occur."""
+    e, z, hi, lo, p, q, runs = _forward(m, context, ids)
     row = np.arange(len(ids))
     p[row, hi] -= 1
     q[row, lo] -= 1
     p /= len(ids)
     q /= len(ids)
-    grad = {"H": z.T @ p, "h": p.sum(0), "L": y.T @ q}
-    dy = q @ m["L"].T
-    dz = (dy + p @ m["H"].T) * (1 - z * z)
-    for name, rows, values in (("C", hi, dy), ("l", hi, q)):
-        grad[name] = np.zeros_like(m[name])
-        np.add.at(grad[name], rows, values)
+    grad = {"H": z.T @ p, "h": p.sum(0)}
+    dz = p @ m["H"].T
+    second = []
+    for k, run in runs:
+        second.append((k, z[run].T @ q[run], q[run].sum(0)))
+        dz[run] += q[run] @ m["L"][k].T
+    dz *= 1 - z * z
     grad["A"], grad["a"] = e.T @ dz, dz.sum(0)
     flat = context.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort
     keys = flat[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    de = np.add.reduceat((dz @ m["A"].T).reshape(-1, DIM)[order], first, axis=0)
-    state["E"][keys[first]] += de * de
-    m["E"][keys[first]] -= rate * de / np.sqrt(state["E"][keys[first]])
+    return grad, (keys[first], np.add.reduceat((dz @ m["A"].T).reshape(-1, DIM)[order], first, axis=0)), second
+
+
+def _step(m, state, context, ids, rate=0.1):
+    """Adagrad; rows and digits that don't occur stay."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    grad, (rows, values), second = gradients(m, context[order], ids[order])
     for k, g in grad.items():
         state[k] += g * g
         m[k] -= rate * g / np.sqrt(state[k])
+    state["E"][rows] += values * values
+    m["E"][rows] -= rate * values / np.sqrt(state["E"][rows])
+    for k, *gs in second:
+        for name, g in zip("Ll", gs):
+            state[name][k] += g * g
+            m[name][k] -= rate * g / np.sqrt(state[name][k])
 
 
 def _pack(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -153,32 +183,80 @@ def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _chosen(words: Words, masked: float, turn: int) -> np.ndarray:
-    """Positions that a round masks, by the words' text and place alone, not by how rows are split; rounds take disjoint ones until all were masked."""
-    local = np.arange(len(words.hash)) - np.repeat(words.first, words.count)
-    chance = (mix(words.hash + local.astype(np.uint64) * np.uint64(31)) >> np.uint64(40)).astype(np.int64)
+def _chosen(ids: np.ndarray, count: np.ndarray, masked: float, turn: int) -> np.ndarray:
+    """Positions that a round masks, by the words' ids and places alone; rounds take disjoint ones until all were masked."""
+    if masked >= 1:
+        return np.arange(len(ids))
+    local = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+    chance = (mix((ids.astype(np.uint64) << np.uint64(32)) + local.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)
     one = 1 << 24
     at, to = round(turn * masked * one), round((turn + 1) * masked * one)
     return np.flatnonzero((chance - at) % one < to - at)
 
 
-def _local(model, known, masked: float, turn: int, size: int = 1024):
-    """Trains on one partition from the common weights on; one row: positions seen and weights times positions."""
+def _encoded(known):
+    """Rows (rid, doc_id, n_words, ids, hs, ns) of documents: the ids of their words, and the hashes and counts of those in buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = {k: v.copy() for k, v in model.value.items()}
-        state = {k: np.full(v.shape, 1e-3, np.float32) for k, v in m.items()}
-        ids_of, seen = Ids(known.value), 0
+        ids_of = Ids(known.value)
         for batch in batches:
             for at, to in slices(batch["text"]):
                 words = Texts.of(batch["text"], at, to).words()
-                ids = ids_of(words.hash)
-                context = contexts(words, ids)
-                chosen = _chosen(words, masked, turn)
-                for i in range(0, len(chosen), size):
-                    part = chosen[i : i + size]
-                    _step(m, state, context[part], ids[part])
+                ids = ids_of(words)
+                other = ids >= KNOWN
+                doc, h = np.repeat(np.arange(to - at), words.count)[other], words.hash[other]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(h))).astype(np.int32)
+                offsets = pa.array(np.searchsorted(doc[first], np.arange(to - at + 1)).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum(words.count)]).astype(np.int32) * 2
+                raw = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int16).tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["rid"].slice(at, to - at), batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), raw]
+                    + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].view(np.int64), n)],
+                    names=["rid", "doc_id", "n_words", "ids", "hs", "ns"],
+                )
+
+    return run
+
+
+def encode(docs: DataFrame, known, words: int, shard: int = SHARD) -> DataFrame:
+    """Rows of the documents' word ids, in shards that hashes of doc_id and words give; rows of null doc_id by hash of their place."""
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_encoded(known), "rid bigint, doc_id bigint, n_words bigint, ids binary, hs array<bigint>, ns array<int>")
+    place = F.xxhash64(F.coalesce("doc_id", "rid"), "ids")
+    return rows.withColumn("place", place).repartition(max(1, -(-words // shard)), "place").sortWithinPartitions("place", "rid").drop("place")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a column one after another, and how many each has."""
+    count = np.array([len(x) // 2 for x in column.to_pylist()], np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).astype(np.int32), count
+
+
+def _local(model, masked: float, turn: int, size: int = STEP):
+    """Trains on one shard from the common weights on; one row: positions seen and weights times positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = {k: v.copy() for k, v in model.value.items()}
+        state = {k: np.full(v.shape, 1e-8, np.float32) for k, v in m.items()}
+        seen, rest = 0, []
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                ids, count = _ids(batch["ids"].slice(at, 256))
+                context = contexts(ids, count)
+                chosen = _chosen(ids, count, masked, turn)
                 seen += len(chosen)
+                rest.append((context[chosen], ids[chosen]))
+                if sum(len(x) for _, x in rest) >= size:
+                    context, ids = (np.concatenate(x) for x in zip(*rest))
+                    whole = len(ids) // size * size
+                    for i in range(0, whole, size):
+                        _step(m, state, context[i : i + size], ids[i : i + size])
+                    rest = [(context[whole:], ids[whole:])]
+        context, ids = (np.concatenate(x) for x in zip(*rest)) if rest else ([], [])
+        if len(ids):
+            _step(m, state, context, ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(_pack(m).astype(np.float64) * seen).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
@@ -195,17 +273,17 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
 
-def train(docs: DataFrame, known: np.ndarray, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights after some rounds over all documents.
+def train(rows: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights after some rounds over all documents' ids.
 
-    In each round every partition trains on ``masked`` of the words of each of its documents, from
-    common weights on; the results, one set of weights a partition, are averaged in a tree of sums,
-    so that what is gathered follows the corpus while no task holds more than two sets.
+    In each round every shard trains on ``masked`` of the words of each of its documents, from
+    common weights on; the results, one set of weights a shard, are averaged in a tree of sums, so
+    that what is gathered follows the corpus while no task holds more than two sets.
     """
-    context = docs.sparkSession.sparkContext
-    m, words = start(seed), context.broadcast(known)
+    context = rows.sparkSession.sparkContext
+    m = start(seed)
     for turn in range(rounds):
-        parts = keep(docs.select("text").mapInArrow(_local(context.broadcast(m), words, masked, turn), "n bigint, w binary"))
+        parts = keep(rows.select("ids").mapInArrow(_local(context.broadcast(m), masked, turn), "n bigint, w binary"))
         many = parts.count()
         while many > 1:
             many = -(-many // 16)
@@ -217,54 +295,43 @@ def train(docs: DataFrame, known: np.ndarray, masked: float = MASKED, rounds: in
     return m
 
 
-def _scored(model, known):
-    """Rows (rid, doc_id, n_words, network, hs, ns): the sum of the network's logarithms, and the words that are in buckets with their counts."""
-
+def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(known.value)
         for batch in batches:
-            for at, to in slices(batch["text"]):
-                words = Texts.of(batch["text"], at, to).words()
-                ids = ids_of(words.hash)
-                p = log_probabilities(model.value, contexts(words, ids), ids).astype(np.float64)
-                sums = np.concatenate([[0], np.cumsum(p)])
-                total = sums[words.first + words.count] - sums[words.first]
-                other = ids >= KNOWN
-                doc, h = np.repeat(np.arange(to - at), words.count)[other], words.hash[other]
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(h))).astype(np.int64)
-                offsets = pa.array(np.searchsorted(doc[first], np.arange(to - at + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["rid"].slice(at, to - at), batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), pa.array(total)]
-                    + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].view(np.int64), n)],
-                    names=["rid", "doc_id", "n_words", "network", "hs", "ns"],
-                )
+            total = []
+            for at in range(0, len(batch), 256):
+                ids, count = _ids(batch["ids"].slice(at, 256))
+                sums = np.concatenate([[0], np.cumsum(log_probabilities(model.value, contexts(ids, count), ids).astype(np.float64))])
+                ends = np.cumsum(count)
+                total.append(sums[ends] - sums[ends - count])
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["n_words"], pa.array(np.concatenate(total or [np.zeros(0)]))], names=["rid", "doc_id", "n_words", "network"])
 
     return run
 
 
-def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every document.
 
     log_likelihood is the sum over all words of the logarithm of their probability given the
-    ``WINDOW`` words on either side, by a network that predicts (id // 64, then id % 64). Ids are
-    the ``KNOWN`` most frequent words and buckets of the others; the probability of a word in a
-    bucket is the bucket's times the word's share of its occurrences, so that every word of the
-    corpus has a probability of its own. Counts and training cover all documents.
+    ``WINDOW`` words on either side, by a network that predicts id // 64, then id % 64 with weights of
+    its own for each first digit. Ids are the ``KNOWN`` most frequent words and buckets of the others
+    by their first ``BEGIN`` characters; the probability of a word in a bucket is the bucket's times
+    the word's share of its occurrences, so that every word of the corpus has a probability of its
+    own. Counts and training cover all documents.
 
     Null and empty texts have 0 words, 0 and null. Every row is scored by itself, repeated ones and
-    null doc_ids too. Other columns are not carried. No rows: none.
+    null doc_ids too. Words of equal counts at the end of the vocabulary: the lower hash is in it.
+    doc_ids must be numbers. Other columns are not carried. No rows: none.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    top, shares = vocabulary(keep(word_counts(docs)))
-    model = train(docs, top, masked, rounds, seed)
+    counts = keep(word_counts(docs))
+    top, shares = vocabulary(counts)
     context = docs.sparkSession.sparkContext
-    schema = T.StructType.fromDDL("rid bigint, doc_id bigint, n_words bigint, network double, hs array<bigint>, ns array<bigint>")
-    rows = keep(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_scored(context.broadcast(model), context.broadcast(top)), schema))
+    rows = keep(encode(docs, context.broadcast(top), counts.agg(F.sum("n")).first()[0] or 0, shard))
+    model = context.broadcast(train(rows, masked, rounds, seed))
     words = rows.select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
     inside = words.join(shares, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
     total = F.col("network") + F.coalesce("inside", F.lit(0.0))
-    rows = rows.select("rid", "doc_id", "n_words", "network").join(inside, "rid", "left").withColumn("log_likelihood", total)
-    return rows.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
+    scored = rows.select("rid", "doc_id", "n_words", "ids").mapInArrow(_scored(model), "rid bigint, doc_id bigint, n_words bigint, network double")
+    scored = scored.join(inside, "rid", "left").withColumn("log_likelihood", total)
+    return scored.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
