@@ -15,9 +15,14 @@ from arcwright.llm import _pretok as P
 from arcwright.llm._text import Texts, slices
 
 LEAST, RATIO = 16, 2.2  # characters of a candidate; characters a token under which it is a secret
+LETTERS = 1.8  # the same for candidates of letters alone, as words of other languages reach the other
+LEAST_NAMED = 8  # characters of what a key name and ``=`` or ``:`` introduce
 _CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
-_KEYED = re.compile(r"(?:token|secret|passw\w{0,8}|api[ _-]?key|key|auth\w{0,12}|credentials?|bearer|pwd)[\"']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}[\"'`]?$", re.I)
+_NAME = r"(?:token|secret|passw\w{0,8}|api[ _-]?key|key|auth\w{0,12}|credentials?|bearer|pwd)[\"']?\s{0,3}"
+_KEYED = re.compile(_NAME + r"(?:[:=]|=>|\s)\s{0,3}[\"'`]?$", re.I)
+_VALUE = re.compile(_NAME + r"(?:[:=]|=>)\s{0,3}[\"'`]?([^\s\"'`<>]+)", re.I)
 _CONTEXT = 40  # characters before a candidate in which its key name is looked for
+_SIGNS = "-=_/+.,;:()[]{}"
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 
@@ -36,6 +41,23 @@ def known_identifier(text: str) -> bool:
 
 def findings(texts: list[str | None], coder, least: int, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int, float, bool]]:
     """(text, start, length, characters a token, keyed) of each secret."""
+
+    def tested(d: int, at: int, found: str, signs: str, short: int, keyed: bool) -> bool:
+        core = found.strip(signs)
+        if len(core) < short or core in known or not any(c.isalpha() for c in core) or (not keyed and known_identifier(core)):
+            return False
+        per = len(core) / len(coder.encode_ordinary(core))
+        if per >= (LETTERS * ratio / RATIO if core.isalpha() else ratio):
+            return False
+        out.append((d, at + len(found) - len(found.lstrip(signs)), len(core), per, keyed))
+        return True
+
+    out: list[tuple[int, int, int, float, bool]] = []
+    named: dict[int, list[tuple[int, int]]] = {}
+    for d, text in enumerate(texts):
+        for m in _VALUE.finditer(text or ""):
+            if tested(d, m.start(1), m.group(1), _SIGNS, min(LEAST_NAMED, least), True):
+                named.setdefault(d, []).append(m.span(1))
     t = Texts(texts)
     inside = np.zeros(len(t.cps) + 1, np.int8)
     inside[:-1] = _mask()[t.cps]
@@ -43,34 +65,27 @@ def findings(texts: list[str | None], coder, least: int, ratio: float, known: fr
     start, end = edge[::2], edge[1::2]
     long = end - start >= least
     start, end = start[long], end[long]
-    digits = np.concatenate([[0], np.cumsum((t.cps >= 48) & (t.cps < 58))])
-    some = digits[end] > digits[start]
-    start, end = start[some], end[some]
-    out = []
     for a, b, d in zip(start.tolist(), end.tolist(), (np.searchsorted(t.starts, start, "right") - 1).tolist()):
         a, b = a - int(t.starts[d]), b - int(t.starts[d])
-        found = texts[d][a:b]
-        core = found.strip("-=_/+")
-        keyed = bool(_KEYED.search(texts[d][max(0, a - _CONTEXT) : a]))
-        if len(core) < least or core in known or not any(c.isalpha() for c in core) or (not keyed and known_identifier(core)):
-            continue
-        per = len(core) / len(coder.encode_ordinary(core))
-        if per < ratio:
-            out.append((d, a + found.index(core), len(core), per, keyed))
+        if not any(x < b and a < y for x, y in named.get(d, ())):
+            tested(d, a, texts[d][a:b], "-=_/+", least, bool(_KEYED.search(texts[d][max(0, a - _CONTEXT) : a])))
     return out
 
 
 def scan(docs: DataFrame, folder: str = P.TOKENIZERS, name: str = P.VOCABULARY, least: int = LEAST, ratio: float = RATIO, known: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, start, length, chars_per_token, keyed) of each secret in the documents; start counts from 0.
 
-    Candidates are the longest runs of base64 and URL-safe characters, without signs at their ends,
-    of at least ``least`` characters, a letter and a digit among them. Left out are those in
-    ``known``, and, unless a key name (token, secret, password ...) stands right before, digests,
-    UUIDs and numbers. The rest is a secret if the vocabulary needs more than a token for each
-    ``ratio`` characters: text and names take fewer tokens, random strings more.
-
-    Null and empty texts have none. Repeated rows and strings each count. Null doc_ids stay null.
-    Other columns are not carried. No rows: none. The secret itself is not written.
+    Candidates are the longest runs of base64 and URL-safe characters of at least ``least``
+    characters, and, from ``LEAST_NAMED`` characters on and up to white space or a quote, whatever a
+    key name (token, secret, password ...) and ``=`` or ``:`` introduce; signs at their ends don't
+    count. Left out are those in ``known``, those without a letter, and, unless a key name stands
+    right before, digests and UUIDs. The rest is a secret if the vocabulary needs more than a token
+    for each ``ratio`` characters (of letters alone: ``LETTERS``): text and names take fewer tokens,
+    random strings more.
+
+    Null and empty texts have none. Repeated rows and strings each count. Null doc_ids stay null;
+    others must be numbers. Other columns are not carried. No rows: none. The secret itself is not
+    written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

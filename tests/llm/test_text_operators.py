@@ -178,6 +178,42 @@ def test_secrets(spark):
     assert len(caught) > 190
 
 
+def test_secrets_of_all_kinds(spark):
+    rng = random.Random(6)
+    made = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [[f"say {made(letters, 32)} now" for _ in range(100)], [f"password = {made(letters, 24)}" for _ in range(100)], [f'"passwd": "{made(letters + digits + "!$%.&*", 20)}"' for _ in range(100)], [f"api_key={made(letters + digits, 12)};" for _ in range(100)]]
+    for texts in kinds:
+        assert len({r["doc_id"] for r in secrets.scan(docs(spark, texts)).collect()}) >= 90
+    clean = ["the key: information, and a token = international", "password: see documentation", "https://www.example.com/path/to/something/else", "Donaudampfschifffahrtsgesellschaft", "some_function_name_in_code", "key: 1234567890123456"]
+    assert secrets.scan(docs(spark, clean)).collect() == []
+
+
+def test_secrets_against_plain_loops(spark):
+    rng = random.Random(7)
+    pool = ["token", "key", "password", " = ", ": ", "=", '"', "\n", " ", ",", "words and such", "é"]
+    some = lambda: "".join(rng.choice("abcdefABCDEF0123456789+/_-.!$") for _ in range(rng.randint(1, 40)))
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.7 else some() for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    want = []
+    for d, text in enumerate(texts):
+        taken = []
+        name = r"(?:token|secret|passw\w{0,8}|api[ _-]?key|key|auth\w{0,12}|credentials?|bearer|pwd)[\"']?\s{0,3}"
+        found = [(m.start(1), m.group(1), "-=_/+.,;:()[]{}", 8, True) for m in re.finditer(name + r"(?:[:=]|=>)\s{0,3}[\"'`]?([^\s\"'`<>]+)", text, re.I)]
+        found += [(m.start(), m.group(), "-=_/+", 16, bool(re.search(name + r"(?:[:=]|=>|\s)\s{0,3}[\"'`]?$", text[max(0, m.start() - 40) : m.start()], re.I))) for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", text)]
+        for at, run, signs, least, keyed in found:
+            core = run.strip(signs)
+            hexes = len(core) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]*|[0-9A-F]*", core)
+            if least == 16 and any(a < at + len(run) and at < b for a, b in taken) or len(core) < least or not re.search("[^\\W\\d_]", core) or (hexes and not keyed):
+                continue
+            per = len(core) / len(ENC.encode_ordinary(core))
+            if per < (1.8 if core.isalpha() else 2.2):
+                want.append((d, at + run.index(core), len(core), per, keyed))
+                if least == 8:
+                    taken.append((at, at + len(run)))
+    got = [tuple(r) for r in secrets.scan(docs(spark, texts)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 100
+
+
 def test_grams_are_range_hashes():
     h = T.Texts(["a b c d a b c"]).words().hash
     g = T.grams(h, 3)
