@@ -47,7 +47,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, sf_dir, "labels")))
-    return scored.where((F.col("low_quality") < quality.THRESHOLD) & (F.col("toxicity") < quality.THRESHOLD)).drop("text")
+    return scored.drop("text").withColumn("kept", (F.col("low_quality") < quality.THRESHOLD) & (F.col("toxicity") < quality.THRESHOLD))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
