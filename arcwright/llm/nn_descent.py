@@ -35,6 +35,26 @@ def _unit(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 1), np.float32)
 
 
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors (id, v) that have a direction, with length 1."""
+    for batch in batches:
+        v = batch["v"]
+        size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        x = v.flatten().to_numpy(zero_copy_only=False)  # null elements become NaN
+        some = np.flatnonzero(size)
+        row = np.repeat(some, size[some])
+        first = (np.cumsum(size) - size)[some]
+        most = np.zeros(len(v))
+        if len(some):
+            most[some] = np.maximum.reduceat(np.abs(x), first)
+        ok = np.isfinite(most) & (most > 0)
+        mine = ok[row]
+        x, row = x[mine] / most[row[mine]], row[mine]
+        length = np.sqrt(np.bincount(row, x * x, len(v)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[ok])]).astype(np.int32)), pa.array((x / length[row]).astype(np.float32)))
+        yield pa.RecordBatch.from_arrays([batch["id"].filter(pa.array(ok)), lists], names=["id", "v"])
+
+
 def _reach(s: np.ndarray, slack: np.ndarray) -> np.ndarray:
     """The largest cosine that members of two classes may have, from their representatives' and the sum of the classes' radii."""
     some = slack > 0
@@ -65,12 +85,24 @@ def _tabled(nodes: DataFrame, first: int, tables: int, bits: int, radius: bool)
     return codes.repartitionByRange("t", "code", "id").sortWithinPartitions("t", "code", "id").select("id", "v")
 
 
+def _best(i: np.ndarray, j: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best partners of each i, those of equal s by lower j, each once."""
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    once = np.ones(len(i), bool)
+    once[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])  # the same pair has the same s, but for rounding
+    i, j, s = i[once], j[once], s[once]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < k], j[rank < k], s[rank < k]
+
+
 def _blocks(k: int):
     """The k best partners of each node among those next to it in a table's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch["id"].to_numpy(), _unit(batch)
+            parts = []
             for at in range(0, len(ids), BLOCK // 2):  # overlapping, so that runs of equal codes meet
                 own, y, r = ids[at : at + BLOCK], x[at : at + BLOCK, :-1], x[at : at + BLOCK, -1]
                 if len(own) < 2:
@@ -81,7 +113,9 @@ def _blocks(k: int):
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 i, j, s = np.repeat(own, n), own[best].ravel(), np.take_along_axis(s, best, 1).ravel().astype(np.float32)
                 real = s > -2
-                yield pa.RecordBatch.from_arrays([pa.array(i[real]), pa.array(j[real]), pa.array(s[real])], names=["i", "j", "s"])
+                parts.append((i[real], j[real], s[real]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(*map(np.concatenate, zip(*parts)), k)], names=["i", "j", "s"])
 
     return run
 
@@ -390,9 +424,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, start:
     lower comes first. Other columns don't matter. No rows: none.
     """
     every = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null")
-    ok = every.where("size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    ok = ok.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    ok = every.mapInArrow(_normal, "id bigint, v array<float>")
     ok = keep(ok.groupBy("id").agg(F.max("v").alias("v")))
     dim = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     ids = every.select(F.col("id").alias("vec_id")).distinct()
