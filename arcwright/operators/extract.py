@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from arcwright.functions import text as X
 from arcwright.model import Graph
+from arcwright.operators import binding
+from arcwright.operators.binding import bare
 from arcwright.operators.durable import keep, small
 
 MEMBERS = ("method", "constructor", "property", "field", "event")
@@ -66,11 +68,14 @@ def contains_edges(decls: DataFrame) -> DataFrame:
 
 
 def _targets(decls: DataFrame, targets: Column, type_: str, assemblies: DataFrame | None) -> DataFrame:
-    rows = decls.select("symbol_id", "assembly", F.explode(targets).alias("target")).where("target <> symbol_id and target <> ''")
+    free = F.coalesce("type_params", F.array().cast("array<string>")) if "type_params" in decls.columns else F.array().cast("array<string>")
+    rows = decls.select("symbol_id", "assembly", F.explode(F.array_except(targets, free)).alias("target")).where("target <> symbol_id and target <> ''")
     if assemblies is None:
         rows = rows.withColumn("target_assembly", F.col("assembly"))
     else:
-        rows = rows.join(assemblies.select(F.col("symbol_id").alias("target"), F.col("assembly").alias("target_assembly")).dropDuplicates(["target"]), "target", "left")
+        known = assemblies.select(bare("symbol_id").alias("__key"), F.col("assembly").alias("target_assembly")).groupBy("__key").agg(F.min("target_assembly").alias("target_assembly"), F.collect_set("target_assembly").alias("__all"))
+        rows = rows.withColumn("__key", bare("target")).join(known, "__key", "left")
+        rows = rows.withColumn("target_assembly", F.when(F.array_contains("__all", F.col("assembly")), F.col("assembly")).otherwise(F.col("target_assembly")))
     return distinct_edges(rows.select(_edge(F.col("symbol_id"), F.col("target"), type_, outside("assembly", "target_assembly"))))
 
 
@@ -121,14 +126,23 @@ def reference_edges(decls: DataFrame, refs: DataFrame, width: int = 1024) -> Dat
 
 
 def external_nodes(edges: DataFrame, nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """A node for each target of an edge that no node has: without a file, with its assembly among the metadata; constructors as methods."""
+    """A node for each target outside that no node has: without a file, with its assembly among the metadata; constructors as methods.
+
+    What no reference tells of, as base types and parameters' types, is a type (below ``overrides`` a
+    method), of the assembly "Unknown". Constructed types of declared ones have no node.
+    """
     known = refs.groupBy(F.col("target_id").alias("id")).agg(F.first("target_kind", True).alias("kind"), F.first("target_assembly", True).alias("outside"))
-    missing = edges.select(F.col("to_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti").join(known, "id")
-    kind = F.when(F.col("kind") == "constructor", "method").otherwise(F.col("kind"))
-    metadata = F.when(F.col("outside").isNotNull(), F.create_map(F.lit("assembly"), "outside")).otherwise(F.create_map().cast("map<string,string>"))
+    wanted = edges.where("type not in ('covers', 'coveredBy', 'contains')").select(F.col("to_id").alias("id"), "type", "is_external")
+    wanted = wanted.unionByName(edges.where("type = 'resolvesTo'").select(F.col("from_id").alias("id"), "type", F.lit(True).alias("is_external")))
+    wanted = wanted.groupBy("id").agg(F.bool_or((F.col("type") == "overrides") | (F.col("type") == "calls")).alias("method"), F.bool_or(F.col("is_external") | (F.col("type") == "resolvesTo")).alias("out"))
+    told = wanted.join(nodes.select("id"), "id", "left_anti").join(known, "id", "left").where("kind is not null or out")
+    told = told.join(nodes.select(bare("id").alias("__key")).distinct(), bare("id") == F.col("__key"), "left").where("kind is not null or __key is null").drop("__key")
+    kind = F.coalesce(F.when(F.col("kind") == "constructor", "method").otherwise(F.col("kind")), F.when(F.col("method"), "method").otherwise("type"))
+    outside_ = F.coalesce("outside", F.when(F.col("kind").isNull(), "Unknown"))
+    metadata = F.when(outside_.isNotNull(), F.create_map(F.lit("assembly"), outside_)).otherwise(F.create_map().cast("map<string,string>"))
     none = F.lit(None).cast("string")
-    return missing.select(
-        "id", X.last_segment(F.regexp_replace("id", r"\(.*$", "")).alias("name"), kind.alias("kind"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("signature"),
+    return told.select(
+        "id", X.last_segment(F.regexp_replace(F.regexp_replace("id", r"\(.*$", ""), "<.*$", "")).alias("name"), kind.alias("kind"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("signature"),
         none.alias("doc_comment"), none.alias("containing_type_id"), none.alias("containing_namespace_id"), F.lit("public").alias("accessibility"), F.coalesce("outside", F.lit("")).alias("assembly_name"), metadata.alias("metadata"),
     )
 
@@ -138,7 +152,7 @@ def di_edges(calls: DataFrame) -> DataFrame:
     pair = F.when(F.size("type_args") == 2, F.col("type_args")).when((F.size("type_args") <= 0) & (F.size("typeof_args") >= 2), F.col("typeof_args"))
     rows = calls.where(F.col("method").isin(*REGISTRATIONS)).withColumn("__pair", pair).where("__pair is not null and __pair[0] is not null and __pair[1] is not null")
     service, target, life = F.col("__pair")[0], F.col("__pair")[1], X.lifetime("method")
-    how = F.concat(X.last_segment(service), F.lit(" → "), X.last_segment(target), F.lit(" (registered: "), life, F.lit(")"))
+    how = F.concat(X.last_segment(bare(service)), F.lit(" → "), X.last_segment(bare(target)), F.lit(" (registered: "), life, F.lit(")"))
     metadata = F.create_map(F.lit("lifetime"), life, F.lit("registrationFile"), F.coalesce("file", F.lit("")))
     return rows.select(_edge(service, target, "resolvesTo", F.lit(False), metadata, how))
 
@@ -163,10 +177,12 @@ def coverage_edges(tests: DataFrame, refs: DataFrame) -> DataFrame:
     return both.select(_edge(F.col("w.a"), F.col("w.b"), F.col("w.t"), F.lit(True), F.create_map(F.lit("testFramework"), "framework")))
 
 
-def extract(decls: DataFrame, refs: DataFrame, calls: DataFrame | None = None, root: str = "") -> Graph:
-    """The graph of facts: declarations, then references, registrations and tests, and nodes for what lies outside."""
+def extract(decls: DataFrame, refs: DataFrame, calls: DataFrame | None = None, root: str = "", others: DataFrame | None = None) -> Graph:
+    """The graph of facts: declarations, then references, registrations and tests, and nodes for what lies outside. others are declarations elsewhere, of which edges are external and nodes aren't made."""
     nodes = declaration_nodes(decls, root)
-    parts = [contains_edges(decls), *(f(decls, decls) for f in (inherits_edges, implements_edges, depends_edges, overrides_edges)), reference_edges(decls, refs)]
+    decls = keep(binding.overridden(decls, others))
+    wide = decls if others is None else decls.unionByName(others, allowMissingColumns=True)
+    parts = [contains_edges(decls), *(f(decls, wide) for f in (inherits_edges, implements_edges, depends_edges, overrides_edges)), reference_edges(decls, refs)]
     if calls is not None:
         parts.append(di_edges(calls))
     invoked = owned(decls, refs.where(F.col("kind").isin("invocation")), kinds=("method",))
@@ -174,7 +190,8 @@ def extract(decls: DataFrame, refs: DataFrame, calls: DataFrame | None = None, r
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
-    return Graph(nodes.unionByName(external_nodes(edges, nodes, refs)), edges)
+    there = nodes.select("id") if others is None else nodes.select("id").unionByName(others.select(F.col("symbol_id").alias("id")))
+    return Graph(nodes.unionByName(external_nodes(edges, there, refs)), edges)
 
 
 def impact(graph: Graph, files: DataFrame, depth: int = 1, types: list[str] | None = None, most: int | None = None) -> DataFrame:

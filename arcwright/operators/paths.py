@@ -32,6 +32,12 @@ def owning_projects(files: DataFrame, projects: DataFrame, root: str = "") -> Da
     return nearest(files, found, "project", root=root)
 
 
+def project_files(files: DataFrame, projects: DataFrame, root: str = "") -> DataFrame:
+    """Files with the path of the project file nearest above them, so that projects of one name in several folders stay apart."""
+    found = projects.select(X.folder(X.slashes("path")).alias("folder"), F.col("path").alias("project"))
+    return nearest(files, found, "project", root=root)
+
+
 def inherited(projects: DataFrame, props: DataFrame) -> DataFrame:
     """(path, key, value): properties of the nearest properties file above each project; keys whatever the case, the first value counts.
 

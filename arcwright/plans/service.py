@@ -154,35 +154,38 @@ def index(spark: SparkSession, root: str, output: str, settings: config.Config,
         wanted = [os.path.normpath(path.absolute().parent / r["path"]).lower() for r in listed]
         found = found.where(functions.lower("path").isin(wanted))
     table = projects.project_table(found, projects.read_texts(spark, root, "Directory.Build.props"))
+    from arcwright.functions.text import stem
+    from arcwright.operators import binding
     from arcwright.operators.match import selected_projects
-    from arcwright.operators.paths import owning_projects
+    from arcwright.operators.paths import project_files
 
     include = [project_filter] if project_filter else settings.projects.include
-    since = graph_dir.read_metadata(output).commit_hash if changed_only and (Path(output) / graph_dir.HEADER).is_file() else ""
-    changed = None
-    if since:
-        files = config.changed_files(since, root)
+    old = graph_dir.read_metadata(output).commit_hash if changed_only and (Path(output) / graph_dir.HEADER).is_file() else ""
+    table = table.withColumn("project", functions.col("path"))
+    chosen = selected_projects(table.withColumn("stem", stem("path")), include, settings.projects.exclude, "stem")
+    if old:
+        files = config.changed_files(old, root)
         if not files:
             return 0
-        touched = owning_projects(spark.createDataFrame([(f"{Path(root).absolute().as_posix()}/{f}",) for f in files], "path string"), found.select("path"))
-        changed = [r[0] for r in touched.select("project").distinct().collect()]
-    chosen = selected_projects(table, include, settings.projects.exclude, "assembly", changed)
+        top = config.git("rev-parse", "--show-toplevel", folder=root) or Path(root).absolute().as_posix()
+        touched = project_files(spark.createDataFrame([(f"{top}/{f}",) for f in files], "path string"), found.select("path"))
+        chosen = chosen.join(touched.select("project").distinct(), "project", "left_semi")
     names = [r[0] for r in chosen.select("assembly").distinct().collect()]
-    sources = owning_projects(projects.source_files(spark, root), found.select("path")).withColumnRenamed("project", "stem")
-    from pyspark.sql import functions as F
-
-    from arcwright.functions.text import stem
-
-    mine = sources.join(chosen.select(stem("path").alias("stem"), "assembly"), "stem").select("assembly", F.col("path").alias("file"), "content")
-    decls, refs = csharp.facts(mine)
-    decls, refs = decls.persist(), refs.persist()
-    graph = extract.extract(decls, csharp.bind(decls, refs), csharp.registrations(refs), root)
+    mine = project_files(projects.source_files(spark, root), found.select("path")).join(chosen.select("project", "assembly"), "project")
+    mine = mine.select("assembly", functions.col("path").alias("file"), "content")
+    others = types = None
+    if old:
+        stored = graph_dir.read_graph(spark, output)
+        others = binding.stored(stored.nodes.where(~functions.col("assembly_name").isin(names)), stored.edges)
+        types = others.where("kind = 'type'").withColumnRenamed("symbol_id", "id")
+    decls, refs = csharp.facts(mine, types)
+    graph = extract.extract(decls, csharp.bind(decls, refs, others), csharp.registrations(refs), root, others)
     from dataclasses import replace
     from datetime import UTC, datetime
 
     meta = replace(graph.meta, commit_hash=config.git("rev-parse", "HEAD", folder=root), branch=config.git("rev-parse", "--abbrev-ref", "HEAD", folder=root), generated_at=datetime.now(UTC).isoformat(), indexer_version="0.1.0", solution_name=Path(root).absolute().name, projects_indexed=tuple(names))
     graph = replace(graph, meta=meta)
-    if changed is not None:
+    if old:
         graph = sets.merge(graph_dir.read_graph(spark, output), graph, names, by="assembly")
     from arcwright.operators.durable import keep
     from arcwright.operators.views import stats

@@ -91,7 +91,8 @@ def stale(folder: str | Path, root: str | Path = ".") -> str | None:
 
 
 def changed_files(since: str, root: str | Path = ".") -> list[str]:
-    return [f for f in git("diff", "--name-only", since, folder=root).splitlines() if f.strip()]
+    """Sources and project files that differ between a commit and the last one, below the repository's top."""
+    return [f for f in git("diff", "--name-only", since, "HEAD", "--", "*.cs", "*.csproj", folder=root).splitlines() if f.strip()]
 
 
 def find_solutions(root: str | Path, skip: frozenset[str] = SKIPPED) -> list[str]:

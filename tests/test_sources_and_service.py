@@ -59,14 +59,86 @@ def test_extraction_from_text(spark):
     edges = set(pairs(g.edges))
     check = "Shop.Core.OrderService.Check(Order)"
     assert {
-        ("Shop.Core", "Shop.Core.OrderService", "contains"), ("Shop.Core.OrderService", place, "contains"), ("Shop.Core.OrderService", "BaseService", "inherits"), ("Shop.Core.OrderService", "IOrderService", "implements"),
+        ("Shop.Core", "Shop.Core.OrderService", "contains"), ("Shop.Core.OrderService", place, "contains"), ("Shop.Core.OrderService", "Shop.Core.BaseService", "inherits"), ("Shop.Core.OrderService", "Shop.Core.IOrderService", "implements"),
         (place, check, "calls"), (place, "Shop.Core.Entry.Entry(int)", "calls"), (place, "Shop.Core.OrderService.Name", "references"), (place, "Order", "dependsOn"), ("Shop.Core.OrderService.Name", "string", "dependsOn"),
-        (place, "BaseService.Place(Order, int[])", "overrides"), ("IOrderService", "OrderService", "resolvesTo"), ("IStore", "Store", "resolvesTo"),
+        (place, "Shop.Core.BaseService.Place(Order, int[])", "overrides"), ("Shop.Core.IOrderService", "Shop.Core.OrderService", "resolvesTo"), ("IStore", "Store", "resolvesTo"),
         ("Shop.Tests.OrderTests.Places()", check, "covers"), (check, "Shop.Tests.OrderTests.Places()", "coveredBy"),
     } - {("Shop.Core.OrderService.Name", "string", "dependsOn")} <= edges
     assert not any(a == "Shop.Tests.OrderTests.Helper()" and t == "covers" for a, _, t in edges) and ("Shop.Core.OrderService.Name", "string", "dependsOn") not in edges
     lives = {r["from_id"]: r["metadata"]["lifetime"] for r in g.edges.where("type = 'resolvesTo'").collect()}
-    assert lives == {"IOrderService": "Scoped", "IStore": "Singleton"}
+    assert lives == {"Shop.Core.IOrderService": "Scoped", "IStore": "Singleton"}
+    assert nodes["Order"]["kind"] == nodes["IStore"]["kind"] == "type" and nodes["Order"]["metadata"] == {"assembly": "Unknown"} and nodes["Order"]["file_path"] == ""
+
+
+MODELS = """namespace Shop.Models;
+public struct Money { public int Cents; }
+public class Order { public Money? Total { get; set; } public Order() { } public Order(int id) { } }
+public interface IRepo<T> where T : class { void Save(T item); T Load(int id, bool deep = false); }
+public abstract class Repo<T> : IRepo<T> { public virtual void Save(T item) { Log("x"); } public T Load(int id, bool deep = false) { return default; } protected void Log(string s) { } }
+"""
+STORES = """using System;
+using Shop.Models;
+using M = Shop.Models.Order;
+namespace Shop.Data
+{
+    public class Order { }
+    namespace Sql
+    {
+        /// <summary>Stores.</summary>
+        /// %s
+        [Serializable]
+        [Obsolete("x[1]")]
+        public class OrderRepo : Repo<M>, IDisposable
+        {
+            private readonly IRepo<M> _inner;
+            public class Cursor { public void Next() { } }
+            public OrderRepo(IRepo<M> inner, Shop.Models.Money? price) { _inner = inner; }
+            public override void Save(M item) { _inner.Save(item); base.Save(item); this.Log("y"); Log("z"); }
+            public Order Plain(string? name, Cursor[] all, int? n) { var c = new Cursor(); c.Next(); M m = new M(3); Money t = m.Total; Helpers.Twice(1); Helpers.Twice(1, 2); Elsewhere.Call(); return new Order(); }
+            public void Dispose() { }
+        }
+        static class Helpers { public static void Twice(int a) { } public static void Twice(int a, int b) { } public static void Setup(object s) { s.AddScoped<IRepo<M>, OrderRepo>(); s.AddTransient(typeof(IRepo<M>), %s typeof(OrderRepo)); } }
+    }
+}
+""" % ("w" * 5000, "/* " + "w" * 500 + " */")
+
+
+def test_names_are_bound(spark):
+    """Ids with full names, through namespaces, usings, aliases, nested types and base types."""
+    sources = spark.createDataFrame([("Models", "/src/M.cs", MODELS), ("Data", "/src/D.cs", STORES)], "assembly string, file string, content string")
+    decls, refs = csharp.facts(sources)
+    g = extract.extract(decls, csharp.bind(decls, refs), csharp.registrations(refs), "/src")
+    nodes, edges = {r["id"]: r for r in g.nodes.collect()}, {(r["from_id"], r["to_id"], r["type"]): r["is_external"] for r in g.edges.collect()}
+    repo, order = "Shop.Data.Sql.OrderRepo", "Shop.Models.Order"
+    save, plain = f"{repo}.Save({order})", f"{repo}.Plain(string, {repo}.Cursor[], int?)"
+    want = {
+        (repo, f"Shop.Models.Repo<{order}>", "inherits"): True, (repo, "IDisposable", "implements"): True, ("Shop.Models.Repo<T>", "Shop.Models.IRepo<T>", "implements"): False,
+        (f"{repo}.OrderRepo(Shop.Models.IRepo<{order}>, Shop.Models.Money?)", f"Shop.Models.IRepo<{order}>", "dependsOn"): True, (f"{repo}.OrderRepo(Shop.Models.IRepo<{order}>, Shop.Models.Money?)", "Shop.Models.Money", "dependsOn"): True,
+        (plain, "Shop.Data.Order", "dependsOn"): False, (plain, f"{repo}.Cursor", "dependsOn"): False, ("Shop.Models.Order.Total", "Shop.Models.Money", "dependsOn"): False,
+        (save, "Shop.Models.Repo<T>.Save(T)", "overrides"): True, (save, "Shop.Models.IRepo<T>.Save(T)", "calls"): True, (save, "Shop.Models.Repo<T>.Save(T)", "calls"): True, (save, "Shop.Models.Repo<T>.Log(string)", "calls"): True,
+        (plain, f"{repo}.Cursor.Next()", "calls"): False, (plain, f"{repo}.Cursor.Cursor()", "calls"): False, (plain, f"{order}.Order(int)", "calls"): True, (plain, f"{order}.Total", "references"): True,
+        (plain, "Shop.Data.Sql.Helpers.Twice(int)", "calls"): False, (plain, "Shop.Data.Sql.Helpers.Twice(int, int)", "calls"): False, (plain, "Shop.Data.Order.Order()", "calls"): False,
+        (f"Shop.Models.IRepo<{order}>", repo, "resolvesTo"): False,
+    }
+    assert {k: edges.get(k) for k in want} == want
+    assert not any(b == "T" for _, b, _ in edges) and not any(a == plain and "Twice" in b and t == "calls" and b.count(",") > 1 for a, b, t in edges)
+    assert nodes[repo]["doc_comment"].startswith("Stores.") and nodes["IDisposable"]["metadata"] == {"assembly": "Unknown"}
+    assert g.edges.where("type = 'resolvesTo'").count() == 2 and {r["attributes"][0] for r in decls.where(f"symbol_id = '{repo}'").collect()} == {"Serializable"}
+    assert set(nodes) >= {f"{order}.Order(int)", "Shop.Models.Repo<T>.Save(T)", "Shop.Data.Sql.OrderRepo.Cursor"}
+
+
+def test_names_of_unchanged_projects(spark):
+    """Sources of one project alone, with the other's declarations from a stored graph, give the edges of both together."""
+    from arcwright.operators import binding
+
+    sources = spark.createDataFrame([("Models", "/src/M.cs", MODELS), ("Data", "/src/D.cs", STORES)], "assembly string, file string, content string")
+    decls, refs = csharp.facts(sources)
+    whole = extract.extract(decls, csharp.bind(decls, refs), csharp.registrations(refs), "/src")
+    others = binding.stored(whole.nodes.where("assembly_name = 'Models' and file_path <> ''"), whole.edges)
+    d2, r2 = csharp.facts(sources.where("assembly = 'Data'"), others.where("kind = 'type'").withColumnRenamed("symbol_id", "id"))
+    part = extract.extract(d2, csharp.bind(d2, r2, others), csharp.registrations(r2), "/src", others)
+    mine = lambda g: {tuple(r)[:4] for r in g.edges.select("from_id", "to_id", "type", "is_external").collect() if r["from_id"].startswith("Shop.Data")}
+    assert mine(part) == mine(whole) and part.nodes.where("id = 'Shop.Models.Order'").count() == 0
 
 
 SLN = 'Microsoft Visual Studio Solution File\nProject("{X}") = "Core", "src\\Core\\Core.csproj", "{1}"\nEndProject\nProject("{F}") = "docs", "docs", "{2}"\nEndProject\n'
@@ -147,6 +219,38 @@ def test_commands(spark, tmp_path, capsys):
     assert run("view", "--graph-dir", g, "--output", str(tmp_path / "v.html"), "--max-nodes", "0") == 1
 
 
+def test_index_of_changed_projects(spark, tmp_path):
+    """Assembly names other than file names, two projects of one name, and a call into a project that isn't read again."""
+    import subprocess
+
+    root = tmp_path / "src"
+    core = "namespace A.Core; public class Base { public void Go(int n) { } }"
+    write = lambda name, text: ((root / name).parent.mkdir(parents=True, exist_ok=True), (root / name).write_text(text))
+    write("one/App.csproj", "<Project><PropertyGroup><AssemblyName>First</AssemblyName></PropertyGroup></Project>")
+    write("two/App.csproj", "<Project><PropertyGroup><AssemblyName>Second</AssemblyName></PropertyGroup></Project>")
+    write("one/Base.cs", core)
+    write("two/Use.cs", "using A.Core; namespace B; public class Use { public void Run() { } }")
+    write("two/notes.txt", "x")
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=root, check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "1")
+    out, g = io.StringIO(), str(tmp_path / "g")
+    run = lambda *a: service.main(["index", "--root", str(root), "--output", g, *a], spark, out)
+    assert run() == 0 and "Indexed 2 projects" in out.getvalue()
+    assert {(r["id"], r["assembly_name"]) for r in graph_dir.read_graph(spark, g).nodes.where("kind = 'type'").collect()} == {("A.Core.Base", "First"), ("B.Use", "Second")}
+    write("two/Use.cs", "using A.Core; namespace B; public class Use : Base { public void Run() { Go(1); } public void More(Base b) { b.Go(2); } }")
+    write("one/notes.txt", "not a source")
+    git("add", ".")
+    git("commit", "-qm", "2")
+    write("one/Base.cs", core.replace("Base", "Lost"))  # not committed
+    assert run("--changed-only") == 0 and "Indexed 1 projects" in out.getvalue()
+    after = graph_dir.read_graph(spark, g)
+    edges = set(pairs(after.edges))
+    assert {("B.Use", "A.Core.Base", "inherits"), ("B.Use.Run()", "A.Core.Base.Go(int)", "calls"), ("B.Use.More(A.Core.Base)", "A.Core.Base.Go(int)", "calls")} <= edges
+    assert after.nodes.where("id = 'A.Core.Base'").count() == 1 and after.nodes.where("id like '%Lost%'").count() == 0 and after.nodes.where("id = 'A.Core.Base' and file_path <> ''").count() == 1
+
+
 def test_impact(spark):
     g = orders(spark)
     rows = extract.impact(g, spark.createDataFrame([("src/OrderService.cs",), ("x/None.cs",)], "path string")).collect()
