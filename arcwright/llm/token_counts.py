@@ -16,6 +16,10 @@ LEAF = 64  # pre-tokens of a leaf when a tree is built
 EDITS = "array<struct<pos:bigint,n_del:bigint,ins:string>>"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype(np.int32).tobytes()
+
+
 class TokenTree:
     """A text whose token count follows edits: leaves hold runs of pre-tokens, inner nodes sums over their leaves.
 
@@ -58,6 +62,18 @@ class TokenTree:
     def text(self) -> str:
         return "".join(leaf[0] for leaf in self.leaves)
 
+    def state(self) -> tuple[str, bytes, bytes]:
+        """Text, and lengths and token counts of its pre-tokens: with them the tree is built without splitting or encoding anything."""
+        starts = np.concatenate([x[1] + at for x, at in zip(self.leaves, np.cumsum([0, *(len(x[0]) for x in self.leaves)]))])
+        counts = np.concatenate([x[2] for x in self.leaves])
+        text = self.text
+        return text, _packed(np.diff(np.append(starts, len(text)))), _packed(counts)
+
+    @classmethod
+    def load(cls, text: str, lengths: bytes, counts: bytes, cache: P.Pieces) -> TokenTree:
+        lengths = np.frombuffer(lengths, np.int32).astype(np.int64)
+        return cls(text, cache, np.cumsum(lengths) - lengths, np.frombuffer(counts, np.int32).astype(np.int64))
+
     def _leaf(self, pos: int) -> tuple[int, int]:
         """The leaf that holds a position, the last one with characters for the end; and where it begins."""
         node, base = 1, 0
@@ -97,7 +113,7 @@ class TokenTree:
             left = max(left, 0)
             moved = starts + (len(ins) - n_del)
             tail = int(np.searchsorted(starts, at + n_del))
-            closed = not any(self.chars[self.size + last + 1 : 2 * self.size])
+            closed = base + len(old) == total  # nothing but empty leaves behind
             # only a short way behind the edit first; then up to the end of the leaves at hand
             for cut in (at + len(ins) + 48, len(new)):
                 cut = min(cut, len(new))
@@ -181,6 +197,67 @@ def count_tokens(docs: DataFrame, folder: str = P.TOKENIZERS, name: str = P.VOCA
     return docs.mapInArrow(_counted(folder, name), "doc_id bigint, n_pieces bigint, tokens_before bigint, n_edits bigint, reencoded bigint, tokens_after bigint")
 
 
+TREES = "doc_id bigint, text string, lengths binary, counts binary, n_tokens bigint, reencoded bigint"
+
+
+def _built(folder: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = P.pieces(folder, name)
+        for batch in batches:
+            for at, to in slices(batch["text"]):
+                t = Texts.of(batch["text"], at, to)
+                start, end, first = P.split(t)
+                counts = cache.counts(t, start, end)
+                total = np.diff(np.concatenate([[0], np.cumsum(counts)])[first])
+                null = batch["text"].slice(at, to - at).is_null().to_numpy(zero_copy_only=False)
+                raw = [[None if null[i] else x[first[i] : first[i + 1]].astype(np.int32).tobytes() for i in range(to - at)] for x in (end - start, counts)]
+                columns = [batch["doc_id"].slice(at, to - at), batch["text"].slice(at, to - at), *(pa.array(c, pa.binary()) for c in raw), pa.array(total, mask=null), pa.array(np.zeros(to - at, np.int64), mask=null)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lengths", "counts", "n_tokens", "reencoded"])
+
+    return run
+
+
+def build_trees(docs: DataFrame, folder: str = P.TOKENIZERS, name: str = P.VOCABULARY) -> DataFrame:
+    """Trees (doc_id, text, lengths, counts, n_tokens, reencoded) of documents, to be stored and then kept up by :func:`update_trees`.
+
+    lengths and counts hold the characters and tokens of each pre-token, as 32-bit numbers; inner
+    nodes are sums of them, and are made again in passing when a tree is edited. Null text: all null
+    but doc_id. Repeated rows give a row each.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.mapInArrow(_built(folder, name), TREES)
+
+
+def _updated(folder: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = P.pieces(folder, name)
+        for batch in batches:
+            out = {c: batch[c].to_pylist() for c in ("text", "lengths", "counts", "n_tokens")}
+            again: list[int | None] = [None if t is None else 0 for t in out["text"]]
+            edits = batch["edits"]
+            for i in np.flatnonzero((edits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0) & batch["text"].is_valid().to_numpy(zero_copy_only=False)).tolist():
+                tree = TokenTree.load(out["text"][i], out["lengths"][i], out["counts"][i], cache)
+                for c in edits[i].as_py():
+                    if c is not None and c["pos"] is not None:
+                        tree.edit(c["pos"], c["n_del"] or 0, c["ins"] or "")
+                out["text"][i], out["lengths"][i], out["counts"][i] = tree.state()
+                out["n_tokens"][i], again[i] = tree.count, tree.reencoded
+            columns = [pa.array(out[c], k) for c, k in (("text", pa.string()), ("lengths", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, pa.array(again, pa.int64())], names=["doc_id", "text", "lengths", "counts", "n_tokens", "reencoded"])
+
+    return run
+
+
+def update_trees(trees: DataFrame, edits: DataFrame, folder: str = P.TOKENIZERS, name: str = P.VOCABULARY) -> DataFrame:
+    """Stored trees after edits (doc_id, seq, pos, n_del, ins): only edited ones are touched, and of them only what edits reach is encoded again.
+
+    reencoded counts the pre-tokens that these edits had encoded again, 0 for other trees. See
+    :func:`count_tokens` for what edits mean and :func:`with_edits` for their order.
+    """
+    rows = with_edits(trees.select("doc_id", "text", "lengths", "counts", "n_tokens"), edits)
+    return rows.mapInArrow(_updated(folder, name), TREES)
+
+
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """The documents with the column edits from rows (doc_id, seq, pos, n_del, ins), in the order of seq.
 

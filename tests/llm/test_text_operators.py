@@ -166,6 +166,30 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(token_counts.sample_edits(docs(spark, []))).collect() == []
 
 
+def test_stored_trees(spark, tmp_path):
+    """Two batches of edits on stored trees: counts are those of the whole texts, and untouched documents aren't encoded again."""
+    texts = ["Hello there, it's 12 o'clock", "", None, "word " * 20000, "tie", "tie", "some other words " * 300]
+    n = lambda t: len(ENC.encode_ordinary(t))
+    frame = docs(spark, texts).unionByName(docs(spark, ["no id"]).withColumn("doc_id", token_counts.F.lit(None).cast("bigint"))).withColumnRenamed("lang", "counts")
+    token_counts.build_trees(frame).write.parquet(f"{tmp_path}/0")
+    first = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/0").collect()}
+    assert [first[i]["n_tokens"] for i in range(7)] == [None if t is None else n(t) for t in texts] and first[None]["n_tokens"] == n("no id") and not any(r["reencoded"] for r in first.values())
+    schema = "doc_id int, seq int, pos bigint, n_del bigint, ins string"
+    batches = [[(0, 1, 5, 6, " you"), (0, 0, 0, 0, "X"), (3, 0, 50000, 5, None), (None, 0, 0, 1, "z")], [(3, 0, 10, 1, "12 new words's"), (1, 0, 3, 3, "filled"), (2, 0, 0, 0, "q"), (99, 0, 0, 0, "q")]]
+    now = dict(enumerate(texts))
+    for k, edits in enumerate(batches):
+        token_counts.update_trees(spark.read.parquet(f"{tmp_path}/{k}"), spark.createDataFrame(edits, schema)).write.parquet(f"{tmp_path}/{k + 1}")
+        got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/{k + 1}").collect()}
+        for d, _, pos, cut, ins in sorted((e for e in edits if e[0] is not None), key=lambda e: e[:2]):
+            if now.get(d) is not None:
+                pos = min(pos, len(now[d]))
+                now[d] = now[d][:pos] + (ins or "") + now[d][pos + cut :]
+        assert len(got) == 8 and all((got[i]["text"], got[i]["n_tokens"]) == (t, None if t is None else n(t)) for i, t in now.items())
+        touched = {e[0] for e in edits} - {None, 2, 99}
+        assert all(0 < got[i]["reencoded"] < 25 if i in touched else not got[i]["reencoded"] for i in got)
+    assert token_counts.update_trees(token_counts.build_trees(docs(spark, [])), spark.createDataFrame([], schema)).collect() == []
+
+
 def test_secrets(spark):
     key, sha, uuid = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "123e4567-e89b-12d3-a456-426614174000"
     texts = [f"my {key} here", f"commit {sha} and {uuid} 1234567890123456", f'token = "{sha}"', "averyveryverylongidentifiername_with_words2 and more", None, "", f"{key} {key}", "é" * 70000 + " " + key, f"api_key: {key[:20]}"]
