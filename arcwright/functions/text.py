@@ -155,9 +155,11 @@ def accessibility(column: str) -> Column:
 
 
 def doc_summary(column: str) -> Column:
-    """Text of the first summary element of an XML comment, null if blank."""
+    """Text of the first summary element of an XML comment, without tags and with entities read; null if blank."""
     inner = F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"(?s)<summary>(.*?)</summary>", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", ""), r"\s+", " "))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
     return F.when(text != "", text)
 
 

@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows, computed once and read from the shared checkpoint folder, so that a lost executor costs nothing.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables below ``spark.checkpoint.dir``. Without that setting a local one is made for a local master, and others fail: executors couldn't share it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        told = context.getConf().get("spark.checkpoint.dir")
+        if not told and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the shared folder, so that a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder: smaller than what :func:`keep` writes, and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b): root is the component's lowest id; roots are not listed.
 

@@ -18,6 +18,8 @@ KNOWN, BUCKETS, BEGIN = 3840, 256, 2
 WINDOW, DIM, HIDDEN = 2, 8, 16
 #: Share of the words of every document that a round of training masks, and the rounds; together they mask every word once.
 MASKED, ROUNDS = 0.5, 2
+#: The most frequent words of the buckets, so many at most, have their shares broadcast; the others are joined.
+SHARED = 400_000
 #: Words of a shard. One shard is trained on by one task, and shards follow the corpus alone, not how rows are split.
 SHARD = 4_000_000
 STEP = 4096  # words that a step of training takes
@@ -48,13 +50,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "h bigint, b int, n bigint").groupBy("h").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[np.ndarray, DataFrame]:
-    """Hashes of the most frequent words, ties going to the lower hash; and (h, share) of all others: the logarithm of a word's share of its bucket."""
+def vocabulary(counts: DataFrame, known: int = KNOWN, shared: int = SHARED) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], DataFrame]:
+    """Hashes of the most frequent words, ties going to the lower hash; of the others the logarithm of a word's share of its bucket: (hashes, shares) of frequent ones, and (h, share) of the rest.
+
+    Frequent are those of so many occurrences that at most ``shared`` words have as many.
+    """
     top = [(r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(known).collect()]
     h, n = top[-1] if top else (0, 0)
     rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
-    sums = F.broadcast(rest.groupBy("b").agg(F.sum("n").alias("all")))  # at most BUCKETS rows
-    return np.array([x for x, _ in top], np.int64).view(np.uint64), rest.join(sums, "b").select("h", F.log(F.col("n") / F.col("all")).alias("share"))
+    sums = {r["b"]: r["all"] for r in rest.groupBy("b").agg(F.sum("n").alias("all")).collect()}  # at most BUCKETS rows
+    table = np.array([sums.get(b, 1) for b in range(BUCKETS)], np.float64)
+    levels = sorted(((r["n"], r["count"]) for r in rest.groupBy("n").count().collect()), reverse=True)  # different counts are few
+    least, many = (levels[0][0] + 1 if levels else 1), 0
+    for level, words in levels:
+        many += words
+        if many > shared:
+            break
+        least = level
+    often = rest.where(F.col("n") >= least).select("h", "b", "n").toArrow()
+    keys = often["h"].to_numpy()
+    order = np.argsort(keys.view(np.uint64))
+    share = np.log(often["n"].to_numpy() / table[often["b"].to_numpy()])[order]
+    seldom = rest.where(F.col("n") < least).select("h", F.log(F.col("n") / F.element_at(F.array(*(F.lit(float(x)) for x in table)), F.col("b") + 1)).alias("share"))
+    return np.array([x for x, _ in top], np.int64).view(np.uint64), (keys[order].view(np.uint64), share), seldom
 
 
 class Ids:
@@ -100,9 +118,8 @@ _ONES = np.ones((_SIDE, 1), np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x @ _ONES.astype(x.dtype)
+    np.exp(np.minimum(x, 80, out=x), out=x)  # hidden values lie within 1, so others don't vanish
+    x /= x @ _ONES.astype(x.dtype) + 1e-30
     return x
 
 
@@ -131,42 +148,38 @@ def log_probabilities(m: dict[str, np.ndarray], context: np.ndarray, ids: np.nda
     return out
 
 
-def gradients(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], tuple, list]:
-    """Of the mean negative log-probability of words sorted by id: of all weights but E and those of the second digit; (rows, values) of E; (k, L, l) of the first digits that occur."""
+def gradients(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of the mean negative log-probability of words sorted by id: of all weights but E, and (rows, values) of E."""
     e, z, hi, lo, p, q, runs = _forward(m, context, ids)
     row = np.arange(len(ids))
     p[row, hi] -= 1
     q[row, lo] -= 1
-    p /= len(ids)
-    q /= len(ids)
-    grad = {"H": z.T @ p, "h": p.sum(0)}
-    dz = p @ m["H"].T
-    second = []
+    share = z / len(ids)
+    grad = {"H": share.T @ p, "h": np.full(len(ids), 1 / len(ids), z.dtype) @ p, "L": np.zeros_like(m["L"]), "l": np.zeros_like(m["l"])}
+    back = np.empty_like(z)
     for k, run in runs:
-        second.append((k, z[run].T @ q[run], q[run].sum(0)))
-        dz[run] += q[run] @ m["L"][k].T
-    dz *= 1 - z * z
-    grad["A"], grad["a"] = e.T @ dz, dz.sum(0)
+        np.matmul(share[run].T, q[run], out=grad["L"][k])
+        np.matmul(q[run], m["L"][k].T, out=back[run])
+    grad["l"][[k for k, _ in runs]] = np.add.reduceat(q, [run.start for _, run in runs], axis=0) / len(ids)
+    back += p @ m["H"].T
+    back *= (1 - z * z) / len(ids)
+    grad["A"], grad["a"] = e.T @ back, back.sum(0)
     flat = context.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort
     keys = flat[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return grad, (keys[first], np.add.reduceat((dz @ m["A"].T).reshape(-1, DIM)[order], first, axis=0)), second
+    return grad, (keys[first], np.add.reduceat((back @ m["A"].T).reshape(-1, DIM)[order], first, axis=0))
 
 
 def _step(m, state, context, ids, rate=0.1):
-    """Adagrad; rows and digits that don't occur stay."""
+    """Adagrad; what doesn't occur stays."""
     order = np.argsort(ids.astype(np.uint16), kind="stable")
-    grad, (rows, values), second = gradients(m, context[order], ids[order])
+    grad, (rows, values) = gradients(m, context[order], ids[order])
     for k, g in grad.items():
         state[k] += g * g
         m[k] -= rate * g / np.sqrt(state[k])
     state["E"][rows] += values * values
     m["E"][rows] -= rate * values / np.sqrt(state["E"][rows])
-    for k, *gs in second:
-        for name, g in zip("Ll", gs):
-            state[name][k] += g * g
-            m[name][k] -= rate * g / np.sqrt(state[name][k])
 
 
 def _pack(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -194,17 +207,24 @@ def _chosen(ids: np.ndarray, count: np.ndarray, masked: float, turn: int) -> np.
     return np.flatnonzero((chance - at) % one < to - at)
 
 
-def _encoded(known):
-    """Rows (rid, doc_id, n_words, ids, hs, ns) of documents: the ids of their words, and the hashes and counts of those in buckets."""
+def _encoded(known, often):
+    """Rows (rid, doc_id, n_words, ids, inside, hs, ns) of documents: the ids of their words, the sum of the shares of frequent ones in buckets, and the hashes and counts of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(known.value)
+        keys, shares = often.value
         for batch in batches:
             for at, to in slices(batch["text"]):
                 words = Texts.of(batch["text"], at, to).words()
                 ids = ids_of(words)
-                other = ids >= KNOWN
+                other = np.flatnonzero(ids >= KNOWN)
                 doc, h = np.repeat(np.arange(to - at), words.count)[other], words.hash[other]
+                inside = np.zeros(to - at)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    hit = keys[place] == h
+                    inside += np.bincount(doc[hit], shares[place[hit]], to - at)
+                    doc, h = doc[~hit], h[~hit]
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
@@ -213,17 +233,17 @@ def _encoded(known):
                 ends = np.concatenate([[0], np.cumsum(words.count)]).astype(np.int32) * 2
                 raw = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int16).tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["rid"].slice(at, to - at), batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), raw]
+                    [batch["rid"].slice(at, to - at), batch["doc_id"].slice(at, to - at), pa.array(words.count.astype(np.int64)), raw, pa.array(inside)]
                     + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].view(np.int64), n)],
-                    names=["rid", "doc_id", "n_words", "ids", "hs", "ns"],
+                    names=["rid", "doc_id", "n_words", "ids", "inside", "hs", "ns"],
                 )
 
     return run
 
 
-def encode(docs: DataFrame, known, words: int, shard: int = SHARD) -> DataFrame:
+def encode(docs: DataFrame, known, often, words: int, shard: int = SHARD) -> DataFrame:
     """Rows of the documents' word ids, in shards that hashes of doc_id and words give; rows of null doc_id by hash of their place."""
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_encoded(known), "rid bigint, doc_id bigint, n_words bigint, ids binary, hs array<bigint>, ns array<int>")
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_encoded(known, often), "rid bigint, doc_id bigint, n_words bigint, ids binary, inside double, hs array<bigint>, ns array<int>")
     place = F.xxhash64(F.coalesce("doc_id", "rid"), "ids")
     return rows.withColumn("place", place).repartition(max(1, -(-words // shard)), "place").sortWithinPartitions("place", "rid").drop("place")
 
@@ -304,12 +324,13 @@ def _scored(model):
                 sums = np.concatenate([[0], np.cumsum(log_probabilities(model.value, contexts(ids, count), ids).astype(np.float64))])
                 ends = np.cumsum(count)
                 total.append(sums[ends] - sums[ends - count])
-            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["n_words"], pa.array(np.concatenate(total or [np.zeros(0)]))], names=["rid", "doc_id", "n_words", "network"])
+            total = np.concatenate(total or [np.zeros(0)]) + batch["inside"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["n_words"], pa.array(total)], names=["rid", "doc_id", "n_words", "most"])
 
     return run
 
 
-def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11, shard: int = SHARD) -> DataFrame:
+def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: int = 11, shard: int = SHARD, shared: int = SHARED) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every document.
 
     log_likelihood is the sum over all words of the logarithm of their probability given the
@@ -325,13 +346,12 @@ def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: i
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = keep(word_counts(docs))
-    top, shares = vocabulary(counts)
+    top, often, shares = vocabulary(counts, shared=shared)
     context = docs.sparkSession.sparkContext
-    rows = keep(encode(docs, context.broadcast(top), counts.agg(F.sum("n")).first()[0] or 0, shard))
+    rows = keep(encode(docs, context.broadcast(top), context.broadcast(often), counts.agg(F.sum("n")).first()[0] or 0, shard))
     model = context.broadcast(train(rows, masked, rounds, seed))
     words = rows.select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
-    inside = words.join(shares, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
-    total = F.col("network") + F.coalesce("inside", F.lit(0.0))
-    scored = rows.select("rid", "doc_id", "n_words", "ids").mapInArrow(_scored(model), "rid bigint, doc_id bigint, n_words bigint, network double")
-    scored = scored.join(inside, "rid", "left").withColumn("log_likelihood", total)
+    inside = words.join(shares, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("share")).alias("seldom"))
+    scored = rows.select("rid", "doc_id", "n_words", "ids", "inside").mapInArrow(_scored(model), "rid bigint, doc_id bigint, n_words bigint, most double")
+    scored = scored.join(inside, "rid", "left").withColumn("log_likelihood", F.col("most") + F.coalesce("seldom", F.lit(0.0)))
     return scored.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))

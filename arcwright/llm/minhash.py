@@ -76,9 +76,14 @@ def _jaccard(size: int, threshold: float):
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, size: int, threshold: float, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch allows the threshold and whose shingle sets reach it."""
-    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
+    """The pairs (a, b) whose union sketch allows the threshold and whose shingle sets reach it.
+
+    Sketches are joined to pairs by the upper half of each value: that keeps their order, and two that fall together by chance
+    only let a pair through to the exact sets.
+    """
+    halves = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    left = sketches.select(F.col("rep").alias("a"), halves.alias("x"))
+    right = sketches.select(F.col("rep").alias("b"), halves.alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
     both = both.withColumn("union", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("x", "y"), "union")))

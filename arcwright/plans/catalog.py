@@ -55,7 +55,7 @@ def _seeds(g: Graph, pattern: str = CUSTOMER) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str, depth: int, external: bool = False, pattern: str = CUSTOMER) -> DataFrame:
-    g = star_graph(spark, sf_dir, stored=depth > 1)
+    g = star_graph(spark, sf_dir)
     return T.traverse(_seeds(g, pattern), g.edges, depth, external)
 
 
@@ -144,13 +144,13 @@ def induced_nodes(spark, sf_dir):
 
 @register(f"+{_bfs(2)} select from_id, to_id, type from edges where from_id in (select id from reached) and to_id in (select id from reached)")
 def induced_edges(spark, sf_dir):
-    g = star_graph(spark, sf_dir, True)
+    g = star_graph(spark, sf_dir)
     return T.induced_edges(g.edges, T.traverse(_seeds(g), g.edges, 2)).select("from_id", "to_id", "type")
 
 
 @register(f"+{_bfs(2)} select from_id, to_id, type from edges where from_id in (select id from reached) and to_id in (select id from reached) and type = 'calls' and not is_external")
 def edge_kind_filter(spark, sf_dir):
-    return query(star_graph(spark, sf_dir, True), QueryOptions(CUSTOMER, 2, X.parse_edge_type("calls-to"), max_nodes=10**9)).edges.select("from_id", "to_id", "type")
+    return query(star_graph(spark, sf_dir), QueryOptions(CUSTOMER, 2, X.parse_edge_type("calls-to"), max_nodes=10**9)).edges.select("from_id", "to_id", "type")
 
 
 @register("select type, count(*) as n from edges where not is_external group by type")
@@ -174,7 +174,7 @@ def external_ids(spark, sf_dir):
 def rank_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    g = star_graph(spark, sf_dir, True)
+    g = star_graph(spark, sf_dir)
     reached = T.traverse(_seeds(g), g.edges, 2)
     found = R.flagged(T.induced_nodes(g.nodes, reached), T.direct_neighbours(reached), R.external_ids(g.edges))
     return found.select("id", F.row_number().over(Window.orderBy(*R.rank_keys(f"AFRICA.{NATION}", None))).alias("place").cast("bigint"))
@@ -187,17 +187,17 @@ _OPTIONS = QueryOptions(CUSTOMER, 2, max_nodes=20)
 
 @register(f"+{_bfs(2)}, {_EXTERNAL}, {_TOP} select id from kept")
 def rank_topk_seeds(spark, sf_dir):
-    return query(star_graph(spark, sf_dir, True), _OPTIONS, None).nodes.select("id")
+    return query(star_graph(spark, sf_dir), _OPTIONS, None).nodes.select("id")
 
 
 @register(f"+{_bfs(2)}, {_EXTERNAL}, {_TOP} select from_id, to_id, type from edges where from_id in (select id from kept) and to_id in (select id from kept) and not is_external")
 def trunc_edges(spark, sf_dir):
-    return query(star_graph(spark, sf_dir, True), _OPTIONS, None).edges.select("from_id", "to_id", "type")
+    return query(star_graph(spark, sf_dir), _OPTIONS, None).edges.select("from_id", "to_id", "type")
 
 
 @register(f"+{_bfs(2)}, {_NEAR} select id from kept")
 def unranked_trunc(spark, sf_dir):
-    return query(star_graph(spark, sf_dir, True), replace(_OPTIONS, rank=False)).nodes.select("id")
+    return query(star_graph(spark, sf_dir), replace(_OPTIONS, rank=False)).nodes.select("id")
 
 
 _MANY = f"seeds as (select * from nodes where kind = 'type' and regexp_matches(id, '(?i)^.*customer_.*07$') and (regexp_matches(containing_namespace_id, '(?i)^.*nation_1.*$') or regexp_matches(id, '(?i)^.*nation_1.*$')))"
@@ -207,13 +207,13 @@ _MANY = f"seeds as (select * from nodes where kind = 'type' and regexp_matches(i
     f"+{_bfs(1, True, _MANY)} select from_id, to_id, type, is_external, (select count(*) from seeds) as matches from edges where from_id in (select id from reached) and to_id in (select id from reached)"
 )
 def query_full(spark, sf_dir):
-    r = query(star_graph(spark, sf_dir, True), QueryOptions("type:*Customer_*07", 1, namespace="*nation_1*", max_nodes=10**9, include_external=True))
+    r = query(star_graph(spark, sf_dir), QueryOptions("type:*Customer_*07", 1, namespace="*nation_1*", max_nodes=10**9, include_external=True))
     return r.edges.select("from_id", "to_id", "type", "is_external", F.lit(r.match_count).cast("bigint").alias("matches"))
 
 
 @register("+seeds as (select * from nodes where lower(id) like '%.order_33') select id, kind, signature, (select count(*) from seeds) = 1 as single from seeds")
 def query_target(spark, sf_dir):
-    r = query(star_graph(spark, sf_dir, True), QueryOptions("Order_33", 0))
+    r = query(star_graph(spark, sf_dir), QueryOptions("Order_33", 0))
     return r.matched.select("id", "kind", "signature", F.lit(r.match_count == 1).alias("single"))
 
 
@@ -222,12 +222,12 @@ def query_target(spark, sf_dir):
 
 def _federated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g = star_graph(spark, sf_dir)
-    regions = frames(spark, sf_dir)["region"].select(F.lower("r_name").alias("solution"))
+    regions = F.array(*(F.lit(r[0].lower()) for r in frames(spark, sf_dir)["region"].select("r_name").collect())).cast("array<string>")  # five
     own = F.when(F.col("assembly_name").isin("", "EVENTS"), F.lit(None)).otherwise(F.lower("assembly_name"))
     nodes = g.nodes.withColumn("own", own)
-    shared = nodes.where("own is null").crossJoin(F.broadcast(regions)).withColumn("signature", F.concat("signature", F.lit(" @"), "solution"))
+    shared = nodes.where("own is null").withColumn("solution", F.explode(regions)).withColumn("signature", F.concat("signature", F.lit(" @"), "solution"))
     nodes = nodes.where("own is not null").withColumn("solution", F.col("own")).unionByName(shared).drop("own", "metadata")
-    edges = g.edges.withColumn("ord", F.lit(0)).crossJoin(F.broadcast(regions)).where((F.lower(F.split_part("from_id", F.lit("."), F.lit(1))) == F.col("solution")) | F.startswith("from_id", F.lit("CATALOG")) | F.startswith("from_id", F.lit("EVENTS")))
+    edges = g.edges.withColumn("ord", F.lit(0)).withColumn("solution", F.explode(regions)).where((F.lower(F.split_part("from_id", F.lit("."), F.lit(1))) == F.col("solution")) | F.startswith("from_id", F.lit("CATALOG")) | F.startswith("from_id", F.lit("EVENTS")))
     return nodes, edges
 
 
@@ -261,7 +261,7 @@ def load_last_wins(spark, sf_dir):
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
-    g = star_graph(spark, sf_dir, True)
+    g = star_graph(spark, sf_dir)
     late = frames(spark, sf_dir)["orders"].where("o_orderdate >= timestamp'2000-01-01'").select((F.lit(4000000000000) + F.col("o_orderkey")).alias("ord"))
     nodes = g.nodes.join(late, "ord", "left_anti").withColumn("signature", F.when((F.col("kind") == "method") & (F.col("ord") % 7 == 0), F.concat("signature", F.lit("?"))).otherwise(F.col("signature")))
     gone = g.nodes.join(late, "ord", "left_semi").select("id")
@@ -509,4 +509,4 @@ def impact_batch(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies within two hops of one customer, without external edges, ranked and cut to 50."""
-    return query(star_graph(spark, sf_dir, True), QueryOptions(CUSTOMER, 2)).nodes.drop("metadata")
+    return query(star_graph(spark, sf_dir), QueryOptions(CUSTOMER, 2)).nodes.drop("metadata")

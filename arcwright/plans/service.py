@@ -69,6 +69,8 @@ class Service:
             return _error(id_, -32602, "Missing required parameter: symbol")
         try:
             if self.graph is None or a.get("solution") != self.solution:
+                for df in (self.graph.nodes, self.graph.edges) if self.graph is not None else ():
+                    df.unpersist()
                 self.graph, self.solution = graph_dir.load(self.spark, self.folder, a.get("solution")), a.get("solution")
                 for df in (self.graph.nodes, self.graph.edges):
                     df.persist()

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from test_text_operators import _brute_lines, docs
 
 from arcwright.llm import html_extract, lm_score, minhash, nn_descent, quality
@@ -32,12 +33,68 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def _words(text):
+    return regex.findall(r"[\p{L}\p{N}\p{M}]+", (text or "").lower())
+
+
 def _brute_near(texts, threshold=0.5):
-    sets = {i: set(s.tolist()) for i, s in texts if len(s)}
+    """Groups by whole sets of word trigrams, every pair compared."""
+    sets = {}
+    for i, t in texts:
+        w = _words(t)
+        if w:
+            sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
     edges = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
     return _groups(sets, edges)
 
 
+def _brute_clean(text, items):
+    """The text without benchmark passages, None if half of it is such: eight words of an item, or all of a shorter one."""
+    found = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}\p{M}]+", text)]
+    words = [text[a:b].lower() for a, b in found]
+    grams = set()
+    for item in items:
+        w = _words(item)
+        n = min(8, len(w))
+        grams |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n >= 4 else set()
+    covered = [False] * len(words)
+    for n in {len(g) for g in grams}:
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in grams:
+                covered[i : i + n] = [True] * n
+    if not any(covered):
+        return text
+    if sum(covered) >= 0.5 * len(words):
+        return None
+    out, at, i = "", 0, 0
+    while i < len(words):
+        if covered[i]:
+            j = i
+            while j + 1 < len(words) and covered[j + 1]:
+                j += 1
+            out += text[at : found[i][0]]
+            tail = regex.match(r"[^\s\p{L}\p{N}]*\s?", text[found[j][1] :])
+            at, i = found[j][1] + tail.end(), j
+        i += 1
+    return out + text[at:]
+
+
+def _brute_probabilities(m, text):
+    """Of low quality and toxicity, passage by passage in plain loops."""
+    p = quality.Passages(Texts([text]))
+    if not len(p.at):
+        return 1.0, 0.0
+    hidden, weight = [], []
+    for k, at in enumerate(p.at):
+        to = p.at[k + 1] if k + 1 < len(p.at) else len(p.word)
+        x = sum(m["E"][w].astype(np.float64) for row in p.word[at:to] for w in row) * 0.35 + p.measures[k].astype(np.float64) @ m["F"] + m["b"]
+        h = np.tanh(x)
+        hidden.append(h)
+        weight.append(np.exp(float(np.dot(np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"]))), m["w"]))))
+    z = sum(w * h for w, h in zip(weight, hidden)) / sum(weight)
+    return tuple(1 / (1 + np.exp(-(z @ m["O"] + m["c"]))))
+
+
 def _copy(text, rng, share):
     return " ".join(w if rng.random() > share else "w" + str(rng.randint(0, 10**6)) for w in text.split())
 
@@ -54,7 +111,7 @@ def test_near_duplicates(spark, few):
     texts += [None, "", "...", "One", "one!", "one two", "One  two", original.upper(), text(40000)]
     frame = docs(spark, texts).withColumnRenamed("lang", "id").withColumnRenamed("source", "rep")
     found = {r["doc_id"]: r["kept_id"] for r in minhash.near_duplicates(frame, broadcast_ids=few).collect()}
-    assert found == _brute_near(list(enumerate(minhash.shingle_sets(texts, 3))))
+    assert found == _brute_near(list(enumerate(texts)))
     kept = minhash.dedup(frame, broadcast_ids=few)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(texts))) - set(found)) and kept.columns == frame.columns
     odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "A, b c")], "doc_id bigint, text string")
@@ -237,11 +294,9 @@ def test_language_model_gradients():
         row = np.arange(len(ids))
         return -np.log(p[row, hi] * q[row, lo]).mean()
 
-    grad, (rows, values), second = lm_score.gradients(m, context, ids)
-    grad["E"], grad["L"], grad["l"] = np.zeros_like(m["E"]), np.zeros_like(m["L"]), np.zeros_like(m["l"])
+    grad, (rows, values) = lm_score.gradients(m, context, ids)
+    grad["E"] = np.zeros_like(m["E"])
     grad["E"][rows] = values
-    for k, big, small in second:
-        grad["L"][k], grad["l"][k] = big, small
     for k in m:
         for index in [tuple(rng.integers(0, n) for n in m[k].shape) for _ in range(3)] + [np.unravel_index(np.abs(grad[k]).argmax(), m[k].shape)]:
             up, down = ({n: v.copy() for n, v in m.items()} for _ in "ab")
@@ -250,13 +305,14 @@ def test_language_model_gradients():
             assert abs((loss(up) - loss(down)) / 2e-5 - grad[k][index]) < 1e-6, k
 
 
-def test_language_model_score_word_by_word(spark, monkeypatch):
+@pytest.mark.parametrize("shared", [0, 100, 10**6])
+def test_language_model_score_word_by_word(spark, monkeypatch, shared):
     """One document's score from the weights, counted and multiplied in plain loops."""
     kept = {}
     monkeypatch.setattr(lm_score, "train", lambda rows, *_: kept.setdefault("m", lm_score.start(5)))
     texts = ["".join(chr(97 + i % 26) for _ in range(3)) + str(i // 26) for i in range(4200)]
     texts = [" ".join(t for t in texts[i : i + 300]) for i in range(0, 4200, 300)] + [" ".join(texts[:3700]), "aaa0 bbb0 zzz9 ccc0 qqq160"]
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs(spark, texts), shared=shared).collect()}
     m = kept["m"]
     n = {}
     for t in texts:
@@ -294,9 +350,10 @@ def test_words_of_a_bucket_share_its_probability(spark):
     often, seldom = [f"often{i}" for i in range(3000)], [f"seldom{i}" for i in range(1500)]
     texts = [" ".join(f"known{rng.randrange(3840)}" for _ in range(2000)) for _ in range(60)] + [" ".join(often)] * 4 + [" ".join(seldom), "known1 seldom5 seldom5", None]
     counts = lm_score.word_counts(docs(spark, texts))
-    top, shares = lm_score.vocabulary(counts)
+    top, often, shares = lm_score.vocabulary(counts, shared=3000)
     share, n = {r["h"]: r["share"] for r in shares.collect()}, {r["h"]: r for r in counts.collect()}
-    assert len(top) == lm_score.KNOWN and len(share) + len(top) == len(n)
+    share |= dict(zip(often[0].view(np.int64).tolist(), often[1].tolist()))
+    assert len(top) == lm_score.KNOWN and len(share) + len(top) == len(n) and 2000 < len(often[0]) <= 3000
     sums = {}
     for h, x in share.items():
         sums[n[h]["b"]] = sums.get(n[h]["b"], 0) + np.exp(x)
@@ -326,18 +383,92 @@ def test_html(spark):
     assert [t for _, t in html_extract.tokens("<p>a &amp; b<!-- no --><p>c: d</p></x>")] == [None, "a & b", None, "c", "d", None]
 
 
+def _brute_extract(pages, support=0.5):
+    """Text of each (page_id, site, html) by whole occurrence vectors and plain loops over all pages of a site."""
+    out = {}
+    for site in {s for _, s, _ in pages}:
+        mine = [(i, html_extract.tokens(h or "")) for i, s, h in pages if s == site]
+        vectors = {}
+        for k, (_, seq) in enumerate(mine):
+            for role, _ in seq:
+                vectors.setdefault(role, {}).setdefault(k, 0)
+                vectors[role][k] += 1
+        groups = {}
+        for role, v in vectors.items():
+            if len(v) >= 2 and len(v) >= support * len(mine):
+                groups.setdefault(tuple(sorted(v.items())), []).append(role)
+        ranked = sorted(groups.items(), key=lambda g: (all(n == 1 for _, n in g[0]), len(g[0]), len(g[1]), min(g[1])), reverse=True)
+        of = {role: c for c, (_, roles) in enumerate(ranked) for role in roles}
+        size = {c: len(roles) for c, (_, roles) in enumerate(ranked)}
+        parent = {}
+        for c in size:
+            seqs = {k: [r for r, _ in seq if of.get(r) == c] for k, (_, seq) in enumerate(mine)}
+            seqs = {k: s for k, s in seqs.items() if s}
+            one = next(iter(seqs.values()))[: size[c]]
+            if any(len(set(s[: size[c]])) != size[c] or s != one * (len(s) // size[c]) for s in seqs.values()):
+                continue
+            if c == 0:
+                parent[0] = -1
+                continue
+            for d in sorted(parent, reverse=True):
+                slots = set()
+                for k in seqs:
+                    n = 0
+                    for role, _ in mine[k][1]:
+                        if of.get(role) == d:
+                            n += 1
+                        elif of.get(role) == c:
+                            slots.add(n % size[d] if d else n)
+                if len(slots) == 1 and (d == 0 or slots != {0}):
+                    parent[c] = d
+                    break
+        for i, seq in mine:
+            slots, n, here = {}, {}, 0
+            for role, part in seq:
+                c = of.get(role)
+                if c in parent:
+                    n[c] = n.get(c, 0) + 1
+                    here = c
+                    while here > 0 and n[here] % size[here] == 0:
+                        here = parent[here]
+                elif part is not None:
+                    path, d = [], here
+                    while d > 0:
+                        path.insert(0, str(n[d] % size[d]))
+                        d = parent[d]
+                    slots.setdefault(".".join([str(n.get(0, 0)), *path]), []).append(part)
+            out[i] = slots
+    return out
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(14)
+    pages = []
+    for i in range(90):
+        site = f"s{i % 3}.example.com" if i < 60 else "s0.example.com"
+        rows = "".join(f"<div class=row><b>Name</b><i>{rng.randint(0, 10**6)}</i><ul>{''.join(f'<li><span>item</span>{rng.randint(0, 10**6)}</li>' for _ in range(rng.randint(1, 4)))}</ul></div>" for _ in range(rng.randint(1, 3)))
+        aside = f"<aside>Ad {rng.randint(0, 3)}</aside>" if rng.random() < 0.7 else ""
+        pages.append((i, site, f"<html><h1>T {rng.random()}</h1><nav>Home | About</nav>{rows}{aside}<p>Words {rng.random()}</p><footer>Made by us</footer></html>" if rng.random() < 0.95 else rng.choice(["", "<p>odd", "plain"])))
+    frame = spark.createDataFrame([(i, f"http://{s}/x", h) for i, s, h in pages], "page_id bigint, url string, html string")
+    want = _brute_extract(pages)
+    got = {r["page_id"]: {x["slot"]: x["text"].split("\n") for x in r["slots"]} for r in html_extract.extract(frame).collect()}
+    assert got == want and any("." in k for v in got.values() for k in v)
+    assert not any("Made by us" in t or t == "Name" for v in got.values() for ts in v.values() if len(v) > 2 for t in ts)
+    odd = spark.createDataFrame([(None, None, "<p>x"), (None, None, None), (1, "http://a/", "<p>x"), (1, "http://a/", "<p>x")], "page_id bigint, url string, html string")
+    assert sorted((r["page_id"] or 0, r["text"] or "") for r in html_extract.extract(odd).collect()) in ([(0, ""), (0, "x"), (1, ""), (1, "")], [(0, ""), (0, "x"), (1, "x"), (1, "x")])
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     import tiktoken
 
     from arcwright.llm import _pretok as P
-    from arcwright.llm import decontaminate
 
     folder = tmp_path / "sf"
     rows = _labelled(700, 10)
     rng = random.Random(11)
     item = " ".join("".join(rng.choice("nopqrstuvwxyz") for _ in range(6)) for _ in range(30))
-    shared = "A long shared line one. A long shared line two. A long shared line three."
+    shared = "A long shared line one.\nA long shared line two.\nA long shared line three."
     texts = [t for _, t, *_ in rows]
     for i in range(0, 40, 4):
         texts[i] += f"\n{shared}\n"
@@ -350,21 +481,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, str(folder)).collect()}
 
     model = quality.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
-    p = quality.predict(model, Texts(texts)).max(1)
-    left = [(i, t) for i, t in enumerate(texts) if p[i] < quality.THRESHOLD]
+    left = [(i, t) for i, t in enumerate(texts) if max(_brute_probabilities(model, t)) < quality.THRESHOLD]
     lines = _brute_lines([t for _, t in left])
     left = [(i, t) for (i, _), (t, gone) in zip(left, lines) if not gone or t.strip()]
-    copies = _brute_near([(i, s) for (i, _), s in zip(left, minhash.shingle_sets([t for _, t in left], 3))])
+    copies = _brute_near(left)
+    assert sum(i + 2 in copies or i + 3 in copies for i in range(0, 40, 4)) >= 5  # near copies go, though lines went before
     left = [(i, t) for i, t in left if i not in copies]
-    index, n = decontaminate.Grams([(0, item)], 8, 4), 0
-    want = {}
+    clean = [(i, t, _brute_clean(t, [item])) for i, t in left]
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=P.read_ranks(), special_tokens={})
-    for i, t in left:
-        hit = decontaminate._scan_texts([t], index, 0.5).get(0)
-        n += bool(hit)
-        if not hit or hit[3] == "cut":
-            want[i] = enc.encode_ordinary(hit[5] if hit else t)
-    assert got == want and n and len(want) < len(texts)
+    want = {i: enc.encode_ordinary(c) for i, _, c in clean if c is not None}
+    assert got == want and any(c != t for _, t, c in clean) and len(want) < len(texts)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "decontamination", "tokenise"]
 
 
@@ -386,9 +512,13 @@ def test_stages_take_odd_documents(spark, tmp_path):
     odd = [(i, t, None, None, None, None, None, None) for i, t, *_ in rows] + [(None, None, None, None, None, 1, "x", "y"), (None, "some words", "en", "s", 3, 1, "x", "y"), (900, "", "en", "s", 0, 1, "x", "y"), (901, rows[0][1], "en", "s", 9, 1, "x", "y"), (901, rows[0][1], "en", "s", 9, 1, "x", "y")]
     frame = spark.createDataFrame(odd, schema)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
+    long = spark.createDataFrame([(5000, "x y z " * 60000 + "\n" + "q\n" * 5000, "en", "s", None, 1, "x", "y")], schema)
     for name, stage in corpus_pipeline.STAGES:
-        for docs_ in (frame, frame.limit(0)):
+        for docs_ in (frame.unionByName(long), frame.limit(0)):
             found = stage(spark, docs_, str(tmp_path))
+            if name == "decontamination" and docs_.count():
+                kept = {r["doc_id"]: r for r in found.collect()}
+                assert kept[5000]["n_chars"] is None and kept[5000]["text"].startswith("x y z x y z") and kept[900]["n_chars"] == 0
             if name == "tokenise":
                 assert found.count() == docs_.count()
             else:
