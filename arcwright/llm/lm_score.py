@@ -22,8 +22,10 @@ MASKED, ROUNDS = 0.5, 2
 SHARED = 400_000
 #: Words of a shard. One shard is trained on by one task, and shards follow the corpus alone, not how rows are split.
 SHARD = 4_000_000
-STEP = 4096  # words that a step of training takes
-_SIDE = 64  # a word's id is predicted as id // 64, then id % 64
+STEP = 8192  # words that a step of training takes
+#: A word's id is predicted as so many digits to this base, each with weights of its own for the digits before it.
+_SIDE, _DIGITS = 16, "HML"
+_BOUND = 4  # of the weights of digits, so that no exponent overflows
 _SIZE = KNOWN + BUCKETS
 
 
@@ -92,13 +94,14 @@ class Ids:
 
 
 def start(seed: int = 11) -> dict[str, np.ndarray]:
+    """First weights: of words, of the hidden values, and of each digit (the last row is added to the others' sums)."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
-    zero = lambda *shape: np.zeros(shape, np.float32)
-    return {
-        "E": (rng.standard_normal((_SIZE + 1, DIM)) * 0.3).astype(np.float32), "A": draw(2 * WINDOW * DIM, HIDDEN), "a": zero(HIDDEN),
-        "H": draw(HIDDEN, _SIDE), "h": zero(_SIDE), "L": draw(_SIDE, HIDDEN, _SIDE) * np.float32(0.3), "l": zero(_SIDE, _SIDE),
-    }
+    m = {"E": (rng.standard_normal((_SIZE + 1, DIM)) * 0.3).astype(np.float32), "A": draw(2 * WINDOW * DIM, HIDDEN), "a": np.zeros(HIDDEN, np.float32)}
+    for d, k in enumerate(_DIGITS):
+        m[k] = draw(_SIDE**d, HIDDEN + 1, _SIDE) * np.float32(0.3 if d else 1)
+        m[k][:, HIDDEN] = 0
+    return m
 
 
 def contexts(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -114,61 +117,62 @@ def contexts(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-_ONES = np.ones((_SIDE, 1), np.float32)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    np.exp(np.minimum(x, 80, out=x), out=x)  # hidden values lie within 1, so others don't vanish
-    x /= x @ _ONES.astype(x.dtype) + 1e-30
-    return x
-
-
 def _forward(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray):
-    """Of words sorted by id: probabilities of the first digit, and of the second given the first."""
-    e = m["E"][context].reshape(len(ids), -1)
-    z = np.tanh(e @ m["A"] + m["a"])
-    hi = ids // _SIDE
-    p = _softmax(z @ m["H"] + m["h"])
-    cut = np.searchsorted(hi, np.arange(_SIDE + 1))
-    runs = [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
-    q = np.empty((len(ids), _SIDE), z.dtype)
-    for k, run in runs:
-        np.add(z[run] @ m["L"][k], m["l"][k], out=q[run])
-    return e, z, hi, ids % _SIDE, p, _softmax(q), runs
+    """Of words sorted by id: embeddings, hidden values and a one, the values of each digit's choices, places of those taken, and runs of words that share weights."""
+    e = m["E"].take(context.ravel(), axis=0).reshape(len(ids), -1)
+    z = np.ones((len(ids), HIDDEN + 1), e.dtype)
+    hidden = e @ m["A"]
+    hidden += m["a"]
+    np.divide(hidden, np.abs(hidden) + 1, out=z[:, :HIDDEN])
+    x = np.empty((len(_DIGITS), len(ids), _SIDE), e.dtype)
+    chosen = np.empty((len(_DIGITS), len(ids)), np.int64)
+    runs = []
+    for d, k in enumerate(_DIGITS):
+        before, digit = np.divmod(ids // _SIDE ** (len(_DIGITS) - 1 - d), _SIDE)
+        np.add(np.arange(d * len(ids), (d + 1) * len(ids)) * _SIDE, digit, out=chosen[d])
+        cut = np.searchsorted(before, np.arange(_SIDE**d + 1)).tolist()
+        for g, (at, to) in enumerate(zip(cut, cut[1:])):
+            if to > at:
+                np.matmul(z[at:to], m[k][g], out=x[d, at:to])
+                runs.append((d, k, g, at, to))
+    return e, z, x, chosen, runs
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones((_SIDE, 1), x.dtype)
 
 
 def log_probabilities(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, step: int = 2 * STEP) -> np.ndarray:
     """Of each word, given the words on both sides."""
     out = np.empty(len(ids), np.float32)
     for i in range(0, len(ids), step):
-        order = np.argsort(ids[i : i + step], kind="stable") + i
-        _, _, hi, lo, p, q, _ = _forward(m, context[order], ids[order])
-        row = np.arange(len(order))
-        out[order] = np.log(p[row, hi] * q[row, lo] + 1e-30)
+        order = np.argsort(ids[i : i + step].astype(np.uint16), kind="stable") + i  # a radix sort
+        _, _, x, chosen, _ = _forward(m, context[order], ids[order])
+        taken = x.ravel()[chosen]
+        out[order] = (taken - np.log(_sums(np.exp(x, out=x)))[:, :, 0]).sum(0)
     return out
 
 
 def gradients(m: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Of the mean negative log-probability of words sorted by id: of all weights but E, and (rows, values) of E."""
-    e, z, hi, lo, p, q, runs = _forward(m, context, ids)
-    row = np.arange(len(ids))
-    p[row, hi] -= 1
-    q[row, lo] -= 1
-    share = z / len(ids)
-    grad = {"H": share.T @ p, "h": np.full(len(ids), 1 / len(ids), z.dtype) @ p, "L": np.zeros_like(m["L"]), "l": np.zeros_like(m["l"])}
-    back = np.empty_like(z)
-    for k, run in runs:
-        np.matmul(share[run].T, q[run], out=grad["L"][k])
-        np.matmul(q[run], m["L"][k].T, out=back[run])
-    grad["l"][[k for k, _ in runs]] = np.add.reduceat(q, [run.start for _, run in runs], axis=0) / len(ids)
-    back += p @ m["H"].T
-    back *= (1 - z * z) / len(ids)
+    e, z, x, chosen, runs = _forward(m, context, ids)
+    np.exp(x, out=x)
+    x /= _sums(x) * x.dtype.type(len(ids))
+    x.reshape(-1)[chosen] -= x.dtype.type(1 / len(ids))
+    grad = {k: np.zeros_like(m[k]) for k in _DIGITS}
+    turned = {k: np.ascontiguousarray(m[k][:, :HIDDEN].transpose(0, 2, 1)) for k in _DIGITS}
+    back = np.empty((len(_DIGITS), len(ids), HIDDEN), z.dtype)
+    for d, k, g, at, to in runs:
+        np.matmul(z[at:to].T, x[d, at:to], out=grad[k][g])
+        np.matmul(x[d, at:to], turned[k][g], out=back[d, at:to])
+    back = back.sum(0)
+    back *= (1 - np.abs(z[:, :HIDDEN])) ** 2
     grad["A"], grad["a"] = e.T @ back, back.sum(0)
     flat = context.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
     keys = flat[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return grad, (keys[first], np.add.reduceat((back @ m["A"].T).reshape(-1, DIM)[order], first, axis=0))
+    return grad, (keys[first], np.add.reduceat((back @ m["A"].T).reshape(-1, DIM).take(order, axis=0), first, axis=0))
 
 
 def _step(m, state, context, ids, rate=0.1):
@@ -178,6 +182,8 @@ def _step(m, state, context, ids, rate=0.1):
     for k, g in grad.items():
         state[k] += g * g
         m[k] -= rate * g / np.sqrt(state[k])
+        if k in _DIGITS:
+            np.clip(m[k], -_BOUND, _BOUND, out=m[k])
     state["E"][rows] += values * values
     m["E"][rows] -= rate * values / np.sqrt(state["E"][rows])
 
@@ -334,8 +340,8 @@ def score(docs: DataFrame, masked: float = MASKED, rounds: int = ROUNDS, seed: i
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every document.
 
     log_likelihood is the sum over all words of the logarithm of their probability given the
-    ``WINDOW`` words on either side, by a network that predicts id // 64, then id % 64 with weights of
-    its own for each first digit. Ids are the ``KNOWN`` most frequent words and buckets of the others
+    ``WINDOW`` words on either side, by a network that predicts the three digits of a word's id to base
+    16, each with weights of its own for the digits before it. Ids are the ``KNOWN`` most frequent words and buckets of the others
     by their first ``BEGIN`` characters; the probability of a word in a bucket is the bucket's times
     the word's share of its occurrences, so that every word of the corpus has a probability of its
     own. Counts and training cover all documents.

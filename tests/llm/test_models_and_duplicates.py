@@ -277,7 +277,8 @@ def test_language_model(spark):
 
 def test_language_model_is_a_distribution():
     m = lm_score.start()
-    m["l"] += np.random.default_rng(1).standard_normal(m["l"].shape).astype(np.float32)
+    for i, k in enumerate("HML"):
+        m[k] += np.random.default_rng(i).standard_normal(m[k].shape).astype(np.float32)
     total = np.exp(lm_score.log_probabilities(m, np.full((lm_score._SIZE, 4), 7, np.int32), np.arange(lm_score._SIZE, dtype=np.int32))).sum()
     assert abs(total - 1) < 1e-3
 
@@ -290,9 +291,14 @@ def test_language_model_gradients():
     context = rng.integers(0, 50, (40, 2 * lm_score.WINDOW))
 
     def loss(w):
-        _, _, hi, lo, p, q, _ = lm_score._forward(w, context, ids)
-        row = np.arange(len(ids))
-        return -np.log(p[row, hi] * q[row, lo]).mean()
+        total = 0.0
+        for around, i in zip(context, ids):
+            s = np.concatenate([w["E"][c] for c in around]) @ w["A"] + w["a"]
+            z = np.append(s / (1 + abs(s)), 1)
+            for k, group, digit in (("H", 0, i // 256), ("M", i // 256, i // 16 % 16), ("L", i // 16, i % 16)):
+                x = np.exp(z @ w[k][group])
+                total -= np.log(x[digit] / x.sum())
+        return total / len(ids)
 
     grad, (rows, values) = lm_score.gradients(m, context, ids)
     grad["E"] = np.zeros_like(m["E"])
@@ -331,10 +337,11 @@ def test_language_model_score_word_by_word(spark, monkeypatch, shared):
         words, total = texts[d].split(), 0.0
         for i, w in enumerate(words):
             around = [of(words[j]) if 0 <= j < len(words) else lm_score._SIZE for j in (i - 2, i - 1, i + 1, i + 2)]
-            z = np.tanh(np.concatenate([m["E"][c] for c in around]) @ m["A"] + m["a"])
+            s = np.concatenate([m["E"][c] for c in around]) @ m["A"] + m["a"]
+            z = np.append(s / (1 + abs(s)), 1)
             soft = lambda x: np.exp(x) / np.exp(x).sum()
-            hi, lo = divmod(of(w), 64)
-            p = soft(z @ m["H"] + m["h"])[hi] * soft(z @ m["L"][hi] + m["l"][hi])[lo]
+            a, b, c = of(w) // 256, of(w) // 16 % 16, of(w) % 16
+            p = soft(z @ m["H"][0])[a] * soft(z @ m["M"][a])[b] * soft(z @ m["L"][16 * a + b])[c]
             total += np.log(p) + (0 if w in known else np.log(n[w] / all_of[of(w)]))
         assert abs(total - got[d]) < 1e-2 * max(1, abs(total) / 100)
 
