@@ -125,7 +125,7 @@ def relative(path: str, root: str) -> Column:
 
 def parts(column: Column | str, separator: str = ",") -> Column:
     """Parts of a list in a text, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(column, re.escape(separator)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(column, re.escape(separator)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def number_or_zero(column: Column | str) -> Column:

@@ -97,7 +97,7 @@ def overridden(decls: DataFrame, others: DataFrame | None = None) -> DataFrame:
     methods = wide.where("kind = 'method'").select(bare("containing_type").alias("above"), "name", F.size(F.coalesce("param_types", F.array().cast("array<string>"))).alias("n"), F.col("symbol_id").alias("base_id"))
     same = F.col("base_id").endswith(F.concat(F.lit("."), F.col("overridden")))
     hits = mine.join(above, "key").join(methods, ["above", "name", "n"]).groupBy("symbol_id").agg(F.min(F.struct("depth", (~same).alias("else"), "base_id")).alias("b"))
-    first = wide.where("kind = 'type' and size(bases) > 0").select(F.col("symbol_id").alias("containing_type"), F.col("bases")[0].alias("base")).dropDuplicates(["containing_type"])
+    first = wide.where("kind = 'type' and size(bases) > 0").select(F.col("symbol_id").alias("containing_type"), F.get("bases", F.lit(0)).alias("base")).dropDuplicates(["containing_type"])
     told = mine.join(hits, "symbol_id", "left").join(first, "containing_type", "left").select("symbol_id", F.coalesce(F.col("b.base_id"), F.concat("base", F.lit("."), "overridden")).alias("__id")).dropDuplicates(["symbol_id"])
     return decls.join(told, "symbol_id", "left").withColumn("overridden", F.col("__id")).drop("__id").select(decls.columns)
 

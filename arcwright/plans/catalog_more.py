@@ -52,7 +52,7 @@ def text_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """+asked as (select o_orderkey, ' ' || o_orderpriority || ',, ' || o_orderstatus || ' ,' as list, case when o_orderkey % 3 = 0 then '12.5' when o_orderkey % 3 = 1 then 'x1' end as n from orders)
-select o_orderkey, array_to_string(list_filter(list_transform(string_split(list, ','), x -> trim(x)), x -> x <> ''), '|') as parts, coalesce(try_cast(n as double), 0.0) as number from asked"""
+select o_orderkey, array_to_string([trim(x) for x in string_split(list, ',') if trim(x) <> ''], '|') as parts, coalesce(try_cast(n as double), 0.0) as number from asked"""
 )
 def text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = frames(spark, sf_dir)["orders"].withColumn("list", F.concat(F.lit(" "), "o_orderpriority", F.lit(",, "), "o_orderstatus", F.lit(" ,")))
@@ -148,7 +148,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     more = s.select(F.lit("type").alias("kind"), F.lit("class").alias("type_kind"), "symbol_id", F.concat(F.lit("S"), "s_suppkey").alias("name"), F.lit(None).cast("string").alias("containing_type"), "assembly", none.alias("bases"), none.alias("ifaces"), F.lit(None).cast("string").alias("return_type"), none.alias("param_types"), F.lit(None).cast("string").alias("overridden"))
     types = types.unionByName(more)
     methods = types.select(F.lit("method").alias("kind"), F.lit(None).cast("string").alias("type_kind"), F.concat("symbol_id", F.lit(".Run(int)")).alias("symbol_id"), F.lit("Run").alias("name"), F.col("symbol_id").alias("containing_type"), "assembly", none.alias("bases"), none.alias("ifaces"),
-                           F.concat(F.coalesce(F.col("bases")[0], F.lit("void")), F.lit("?")).alias("return_type"), F.array(F.lit("int")).alias("param_types"), F.when(F.size("bases") > 0, "Run(int)").alias("overridden"))
+                           F.concat(F.coalesce(F.get("bases", F.lit(0)), F.lit("void")), F.lit("?")).alias("return_type"), F.array(F.lit("int")).alias("param_types"), F.when(F.size("bases") > 0, "Run(int)").alias("overridden"))
     return types.unionByName(methods), types
 
 
