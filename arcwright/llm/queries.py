@@ -116,10 +116,10 @@ select vec_id, class_id, coalesce(links, 0) as links from least left join counte
     "op9_minhash": r"""
 with recursive words as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents),
 sets as (select distinct doc_id, g from (
-  select doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) else [array_to_string(ws, ' ')] end) as g from words where len(ws) > 0)),
+  select doc_id, unnest(case when len(ws) >= 3 then [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)] else [array_to_string(ws, ' ')] end) as g from words where len(ws) > 0)),
 sizes as (select doc_id, count(*) as n from sets group by doc_id),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all),
-near as (select a, b from both join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.5 * (x.n + y.n - c)),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all),
+near as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.5 * (x.n + y.n - c)),
 ways as (select a, b from near union select b, a from near),
 reached as (select a, b from ways union select r.a, w.b from reached r join ways w on w.a = r.b),
 least as (select a as doc_id, min(b) as kept_id from reached group by a)
