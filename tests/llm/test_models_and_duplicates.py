@@ -492,7 +492,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     lines = _brute_lines([t for _, t in left])
     left = [(i, t) for (i, _), (t, gone) in zip(left, lines) if not gone or t.strip()]
     copies = _brute_near(left)
-    assert sum(i + 2 in copies or i + 3 in copies for i in range(0, 40, 4)) >= 5  # near copies go, though lines went before
+    here = {i for i, _ in left}
+    pairs = [(a, b) for i in range(0, 40, 4) for a, b in ((i + 2, i + 100), (i + 3, i + 120)) if {a, b} <= here]
+    assert len(pairs) >= 5 and all(b in copies for _, b in pairs)  # exact and near copies go, though lines went before; the lower doc_id stays
     left = [(i, t) for i, t in left if i not in copies]
     clean = [(i, t, _brute_clean(t, [item])) for i, t in left]
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=P.read_ranks(), special_tokens={})
