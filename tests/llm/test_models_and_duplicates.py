@@ -130,6 +130,40 @@ def test_near_duplicates_of_unlike_sketches(spark):
     assert [tuple(r) for r in minhash.near_duplicates(docs(spark, texts)).collect()] == [(1, 0)]
 
 
+@pytest.mark.parametrize("hot", [minhash.HOT, 5])
+def test_near_duplicates_among_common_phrases(spark, monkeypatch, hot):
+    """Texts of a few phrases that a hundred others have too: what is written between the steps is in proportion to the texts, not to their pairs."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(60)]
+    texts = [" ".join(rng.sample(phrases, 5) + [f"d{i}w{j}" for j in range(40)]) for i in range(1200)]
+    texts += [" ".join(t.split()[k:]) for t in texts[:40] for k in (3, 20, 45)]
+    rows, keep = [], minhash.keep
+
+    def counted(df):
+        kept = keep(df)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(minhash, "keep", counted)
+    found = {r["doc_id"]: r["kept_id"] for r in minhash.near_duplicates(docs(spark, texts), **({"hot": hot} if hot == 5 else {})).collect()}
+    assert found == _brute_near(list(enumerate(texts))) and len(found) > 60
+    assert sum(rows) < 30 * len(texts), rows
+
+
+def test_minima_of_sets_at_the_threshold():
+    rng, lost = np.random.default_rng(8), 0
+    for i in range(3000):
+        n = (1, 2, 5, 40, 300)[i % 5]
+        x = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)
+        pair = (x[: 2 * n], x[n:]) if i % 3 else (x[: 2 * n], x[:n])
+        share = len(np.intersect1d(*pair)) / len(np.union1d(*pair))
+        least = np.array([minhash._least(s, share) for s in pair])
+        keys, four = minhash.band_keys(least, share), minhash.marks(least).view(np.uint64)
+        equal = 64 * (four.shape[1] // 4) - sum(int(v).bit_count() for v in np.bitwise_or.reduce((four[0] ^ four[1]).reshape(-1, 4), axis=1))
+        lost += not (keys[0] == keys[1]).any() or equal < minhash.least_equal(share)
+    assert lost <= 3  # 0.2 are to be expected
+
+
 def _brute_links(x, threshold):
     """(class, links) of each row: components and degrees of the pairs that reach the threshold."""
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
