@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -62,6 +64,36 @@ def test_encoding(spark):
     assert bpe.encode(docs(spark, [])).collect() == [] and bpe.decode(bpe.encode(docs(spark, []))).collect() == []
 
 
+def _peak(run):
+    """MB that a call takes at most, and what it returns."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_encoding_takes_memory_for_a_part_not_for_the_batch_or_text():
+    rng = np.random.default_rng(5)
+    words = ["the", "cat's", " sat", "1234", "über", "\n\n", "x" * 9, "..."]
+    text = " ".join([*(words[i] for i in rng.integers(0, 8, 200_000)), "y" * 300_000, *(words[i] for i in rng.integers(0, 8, 200_000))])
+    known = list(bpe._encode([text], P.pieces(P.TOKENIZERS, P.VOCABULARY))[0])  # fills the caches
+    size, overlap = 1 << 16, 1 << 10
+    at = list(range(0, len(text) - overlap, size - overlap))
+    chunks = [text[a : a + size] for a in at]
+    batch = pa.RecordBatch.from_pydict({"doc_id": at, "text": chunks})
+    rows, peak = _peak(lambda: [r.num_rows for r in bpe._batches(iter([batch]), P.TOKENIZERS, P.VOCABULARY)])
+    assert sum(rows) == len(at) and peak < 16
+    named = pa.RecordBatch.from_pydict({"no": range(len(at)), "chunk": chunks})
+    parts, peak = _peak(lambda: list(bpe._chunk_bounds(iter([named]))))
+    assert len(parts) > 1 and peak < 16
+    assert [(n, s) for p in parts for n, s in zip(p["no"].to_pylist(), p["starts"].to_pylist())] == [(i, bpe.pretokenise_chunk(c).tolist()) for i, c in enumerate(chunks)]
+    starts = pa.concat_arrays([p["starts"] for p in parts])
+    table = pa.table({"doc_id": [7] * len(at), "no": range(len(at)), "at": at, "chunk": chunks, "starts": starts})
+    row, peak = _peak(lambda: bpe._stitched(P.TOKENIZERS, P.VOCABULARY, overlap)(table))
+    assert row.to_pylist() == [{"doc_id": 7, "token_ids": known, "n_tokens": len(known), "round_trip": True}] and peak < 60
+
+
 def _brute_lines(texts, window=3):
     seen, out = set(), []
     for t in texts:
