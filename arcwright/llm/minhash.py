@@ -175,15 +175,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
     values = nodes.select("rep", F.posexplode("bands")).select((F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("col")).alias("v"), "rep").repartition("v")
     common = values.groupBy("v").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("v", "head")
-    lists = keep(values.join(common.hint("shuffle_hash"), "v").select("v", "rep", "head"))
+    # shuffled once more, as few large files: to write each, an executor may start processes (chmod), which count with all of its memory until they run
+    lists = keep(values.join(common.hint("shuffle_hash"), "v").select("v", "rep", "head").repartition("rep"))
 
     fits = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size")  # a set can't be that similar to one that much larger
     alike = fits & _alike("x", "y", threshold)
     stars = lists.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     left, right = (nodes.select(F.col("rep").alias(r), F.col("size").alias(c + "_size"), F.col("marks").alias(c)) for r, c in (("a", "x"), ("b", "y")))
     stars = keep(stars.join(left, "a").join(right, "b").where(alike).select("a", "b"))
-    found = keep(_verified(stars, texts, size, threshold, broadcast_ids))
-    roots = components(found)
+    roots = components(_verified(stars, texts, size, threshold, broadcast_ids))
 
     labelled = lists.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = labelled.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / hot).alias("parts")).where("r0 < r1").select("v", "parts")
@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     x, y = (side.repartition(tasks, "v", "part") for side in (x, y))
     across = x.join(y, ["v", "part"]).where(F.col("p_root") < F.col("q_root")).where(alike).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     across = keep(across.join(stars, ["a", "b"], "left_anti"))
+    found = copies.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))  # components so far stand for the stars' pairs
     if across.limit(1).count():
         found = found.unionByName(_verified(across, texts, size, threshold, broadcast_ids))
-    groups = components(copies.unionByName(found))
+    groups = components(found)
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
 
 

@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ import regex
 from test_text_operators import _brute_lines, docs
 
 from arcwright.llm import html_extract, lm_score, minhash, nn_descent, quality
-from arcwright.llm._graph import components
+from arcwright.llm._graph import components, shared_folder
 from arcwright.llm._text import Texts
 
 
@@ -150,6 +151,27 @@ def test_near_duplicates_among_common_phrases(spark, monkeypatch, hot):
     assert sum(rows) < 30 * len(texts), rows
 
 
+def test_near_duplicates_write_few_files(spark):
+    """Lists of alike texts are few, and so are the files written for them, however many tasks have gone through the bands of all texts."""
+    texts = [" ".join(f"d{i}w{j}" for j in range(40)) for i in range(400)]
+    texts += [t + " more" for t in texts[:20]] + [t.split(" ", 1)[1] for t in texts[:20]]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    files = lambda: {p for p in Path(shared_folder(spark).removeprefix("file:")).rglob("part-*")}
+    old = files()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = minhash.near_duplicates(docs(spark, texts))
+        written = len(files() - old)
+        rows = {tuple(r) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert rows == {(400 + i, i % 20) for i in range(40)}
+    assert written < 38, written
+
+
 def test_minima_of_sets_at_the_threshold():
     rng, lost = np.random.default_rng(8), 0
     for i in range(3000):
