@@ -11,12 +11,13 @@ from arcwright.operators import traverse as T
 from arcwright.operators.durable import keep
 
 
-def query(graph: Graph, options: QueryOptions, collation: str | None = "UNICODE") -> QueryResult:
+def query(graph: Graph, options: QueryOptions, collation: str | None = "UNICODE", near: str | None = None) -> QueryResult:
     """Answers a request over a graph.
 
     Namespace and project restrict the seeds alone, the edge type the returned edges alone;
     external edges are neither walked nor returned unless asked for. What exceeds ``max_nodes`` is
-    cut to the best nodes and all seeds, so that seeds may exceed it.
+    cut to the best nodes and all seeds, so that seeds may exceed it. Nodes of the project ``near``
+    rank first; if it isn't given, those of the seed's namespace, if there is one seed.
     """
     seeds = M.in_project(M.in_namespace(M.match(graph.nodes, options.pattern), options.namespace), options.project)
     seeds = keep(seeds)
@@ -31,8 +32,9 @@ def query(graph: Graph, options: QueryOptions, collation: str | None = "UNICODE"
     truncated = nodes.count() > options.max_nodes
     if truncated:
         if options.rank:
-            target = seeds.select("containing_namespace_id").first() if count == 1 else None
-            ids = R.best_ids(nodes, seeds, T.direct_neighbours(reached), R.external_ids(graph.edges), target[0] if target else None, options.max_nodes, collation)
+            if near is None and count == 1:
+                near = seeds.select("containing_namespace_id").first()[0]
+            ids = R.best_ids(nodes, seeds, T.direct_neighbours(reached), R.external_ids(graph.edges), near, options.max_nodes, collation)
         else:
             ids = R.first_ids(nodes, reached, seeds, options.max_nodes)
         nodes, edges = R.cut(nodes, edges, keep(ids))
