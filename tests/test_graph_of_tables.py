@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -73,3 +74,12 @@ def test_queries_derive_what_they_read(spark):
     plan = QUERIES["view_links"](spark, SOURCE)._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "l_partkey#" not in plan
     assert written(spark) == before
+
+
+@pytest.mark.parametrize("name", ["diff_counts", "diff_added_edges"])
+def test_snapshots_are_told_apart_by_keys(spark, twice, name):
+    """Edges of snapshots of one table aren't compared, nor joined with the nodes that went."""
+    from arcwright.plans.catalog import QUERIES
+
+    assert not re.search(r"Join \[[^\]]*(from_id|to_id)", QUERIES[name](spark, twice)._jdf.queryExecution().executedPlan().toString())
+    same(spark, name, twice)
