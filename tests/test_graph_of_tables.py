@@ -83,3 +83,9 @@ def test_snapshots_are_told_apart_by_keys(spark, twice, name):
 
     assert not re.search(r"Join \[[^\]]*(from_id|to_id)", QUERIES[name](spark, twice)._jdf.queryExecution().executedPlan().toString())
     same(spark, name, twice)
+
+
+@pytest.mark.parametrize("name, which", [("rank_topk_seeds", "twice"), ("rank_topk_seeds", "moved"), ("trunc_edges", "moved"), ("unranked_trunc", "twice")])
+def test_ranking_of_several_seeds(spark, request, name, which):
+    """Seeds of equal ids are listed once, and the project that ranks first doesn't depend on their number."""
+    same(spark, name, request.getfixturevalue(which))
